@@ -1,4 +1,4 @@
-"""All registered queries with their reference SQL."""
+"""The registered queries of the core with their reference SQL."""
 
 from __future__ import annotations
 
@@ -13,24 +13,12 @@ from arborine.plans import core, problems
 _shipped: set[str] = set()
 
 
-def _llm():
-    try:
-        from arborine.llm import queries as module
-    except ImportError as e:
-        if e.name and e.name.startswith("arborine.llm"):
-            return None
-        raise
-    return module
-
-
 def queries() -> dict:
-    extra = _llm()
-    return {**core.QUERIES, **problems.QUERIES, **(extra.QUERIES if extra else {})}
+    return {**core.QUERIES, **problems.QUERIES}
 
 
 def oracle_sql() -> dict:
-    extra = _llm()
-    return {**core.ORACLE, **problems.ORACLE, **(extra.ORACLE if extra else {})}
+    return {**core.ORACLE, **problems.ORACLE}
 
 
 def ship(spark) -> None:
