@@ -13,10 +13,10 @@ share of the files.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,27 +163,24 @@ def _file_table(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, path string, digest string, " + ", ".join(f"{k} double" for k in LABELS))
 
 
-def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(sum((F.exp(t - top) for t in terms[1:]), F.exp(terms[0] - top)))
+def _message(rows: DataFrame, sources: list[str], targets: list[str], upward: bool) -> DataFrame:
+    """``rows`` with the columns ``targets``: the message of a node of log belief ``sources`` to its parent's labels, or to its child's.
 
+    Each message is centred on its greatest entry, as only the differences matter.
+    """
+    table = np.log(np.array([COMPATIBLE[k] for k in LABELS]))
 
-def _centred(columns: list[Column]) -> list[Column]:
-    """Log weights less their greatest, so that long sums stay in range where it matters: their differences."""
-    top = F.greatest(*columns)
-    return [c - top for c in columns]
-
-
-def _up(prefix: str = "") -> list[Column]:
-    """The message of a child, whose log belief is in the columns ``prefix`` + label, to each label of its parent."""
-    out = [_log_sum([F.lit(math.log(COMPATIBLE[p][k])) + F.col(prefix + c) for k, c in enumerate(LABELS)]) for p in LABELS]
-    return _centred(out)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            belief = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in sources])
+            terms = belief[:, None, :] + table[None, :, :] if upward else belief[:, None, :] + table.T[None, :, :]
+            top = terms.max(2, keepdims=True)
+            out = (top + np.log(np.exp(terms - top).sum(2, keepdims=True)))[:, :, 0]
+            out -= out.max(1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[:, k]) for k in range(len(LABELS)))], [*batch.schema.names, *targets])
 
-def _down(belief: list[Column]) -> list[Column]:
-    """The message of a parent of that log belief to each label of its child."""
-    out = [_log_sum([F.lit(math.log(COMPATIBLE[p][k])) + belief[i] for i, p in enumerate(LABELS)]) for k in range(len(LABELS))]
-    return _centred(out)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, " + ", ".join(f"{t} double" for t in targets))
 
 
 def _parent(path: str) -> Column:
@@ -212,44 +209,38 @@ def file_labels(documents: DataFrame) -> DataFrame:
     files = scratch.save(_file_table(documents), "files")
     n_files = files.count()
     copies = files.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.substring_index("path", "/", 1)).alias("a"), F.max(F.substring_index("path", "/", 1)).alias("b")).where("a <> b").select("digest", F.lit(8.0).alias("copied"))
-    known = join_skewed(files, copies, "digest", n_files, "left")
-    leaves = scratch.save(known.select("doc_id", "path", _parent("path").alias("dir"), *(F.col(k) + (F.coalesce("copied", F.lit(0.0)) if k == "vend" else F.lit(0.0)) for k in LABELS)).toDF("doc_id", "path", "dir", *LABELS), "leaves")
-    scratch.drop(files)
-    up = [c.alias(f"u_{k}") for k, c in zip(LABELS, _up())]
-    sums = [F.sum(f"u_{k}").alias(k) for k in LABELS]
-    below = scratch.save(leaves.select("dir", *up).groupBy("dir").agg(*sums), "below")
     depth = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, "/")))
-    deepest = below.agg(F.max(depth("dir"))).first()[0] or 0
+    known = join_skewed(files, copies, "digest", n_files, "left")
+    leaves = known.select("doc_id", "path", _parent("path").alias("dir"), *(F.col(k) + (F.coalesce("copied", F.lit(0.0)) if k == "vend" else F.lit(0.0)) for k in LABELS)).toDF("doc_id", "path", "dir", *LABELS)
+    up, above = [f"u_{k}" for k in LABELS], [f"a_{k}" for k in LABELS]
+    rest = [F.coalesce(F.col(a) - F.col(u), F.lit(ROOT[i])).alias(a) for i, (a, u) in enumerate(zip(above, up))]
+    leaves = scratch.save(_message(leaves, list(LABELS), up, True), "leaf")
+    below = scratch.save(leaves.groupBy("dir").agg(*(F.sum(u).alias(k) for u, k in zip(up, LABELS))).withColumn("level", depth("dir")), "below")
+    deepest = below.agg(F.max("level")).first()[0] or 0
     levels: dict[int, DataFrame] = {}
     for level in range(deepest, 0, -1):
-        parts = below.where(depth("dir") == level)
+        parts = below.where(F.col("level") == level).drop("level")
         if level + 1 in levels:
-            parts = parts.unionByName(levels[level + 1].select(_parent("dir").alias("dir"), *(F.col(f"u_{k}").alias(k) for k in LABELS)).groupBy("dir").agg(*(F.sum(k).alias(k) for k in LABELS)))
+            parts = parts.unionByName(levels[level + 1].select(_parent("dir").alias("dir"), *(F.col(u).alias(k) for u, k in zip(up, LABELS))))
         held = parts.groupBy("dir").agg(*(F.sum(k).alias(k) for k in LABELS)).select("dir", *((F.col(k) + _said(k) + (F.lit(ROOT[i]) if level == 1 else F.lit(0.0))).alias(k) for i, k in enumerate(LABELS)))
-        levels[level] = scratch.save(held.select("*", *up), f"up{level}")
-    told = levels.get(1)
-    beliefs = []
-    for level in range(1, deepest + 1):
-        if level > 1:
-            above = told.select(F.col("dir").alias("above"), *(F.col(k).alias(f"a_{k}") for k in LABELS))
-            children = levels[level].withColumn("above", _parent("dir"))
-            met = join_skewed(children, above, "above", children.count(), "left")
-            down = _down([F.coalesce(F.col(f"a_{k}") - F.col(f"u_{k}"), F.lit(ROOT[i])) for i, k in enumerate(LABELS)])
-            told = met.select("dir", *((F.col(k) + d).alias(k) for k, d in zip(LABELS, down)))
-            told = scratch.save(told, f"down{level}")
-        beliefs.append(told.select("dir", *LABELS))
-    if not beliefs:
-        beliefs = [below.select("dir", *LABELS)]
-    whole = beliefs[0]
-    for b in beliefs[1:]:
-        whole = whole.unionByName(b)
-    asked = whole.select("dir", *(F.col(k).alias(f"a_{k}") for k in LABELS))
-    met = join_skewed(leaves.select("*", *up), asked, "dir", n_files, "left")
-    down = _down([F.coalesce(F.col(f"a_{k}") - F.col(f"u_{k}"), F.lit(ROOT[i])) for i, k in enumerate(LABELS)])
-    final = met.select("doc_id", "path", *((F.col(k) + d).alias(k) for k, d in zip(LABELS, down)))
-    best, total = F.greatest(*LABELS), _log_sum([F.col(k) for k in LABELS])
+        levels[level] = scratch.save(_message(held, list(LABELS), up, True), f"up{level}")
+    told = levels.get(1, below.select("dir", *LABELS))
+    whole = told.select("dir", *LABELS)
+    for level in range(2, deepest + 1):
+        over = told.select(F.col("dir").alias("above"), *(F.col(k).alias(a) for k, a in zip(LABELS, above)))
+        children = levels[level].withColumn("above", _parent("dir"))
+        met = join_skewed(children, over, "above", children.count(), "left").select("dir", *LABELS, *rest)
+        down = _message(met, above, [f"d_{k}" for k in LABELS], False)
+        told = scratch.save(down.select("dir", *((F.col(k) + F.col(f"d_{k}")).alias(k) for k in LABELS)), f"down{level}")
+        whole = whole.unionByName(told)
+    asked = whole.select("dir", *(F.col(k).alias(a) for k, a in zip(LABELS, above)))
+    met = join_skewed(leaves, asked, "dir", n_files, "left").select("doc_id", "path", *LABELS, *rest)
+    down = _message(met, above, [f"d_{k}" for k in LABELS], False)
+    final = down.select("doc_id", "path", *((F.col(k) + F.col(f"d_{k}")).alias(k) for k in LABELS))
+    best = F.greatest(*LABELS)
+    total = sum((F.exp(F.col(k) - best) for k in LABELS[1:]), F.exp(F.col(LABELS[0]) - best))
     label = F.coalesce(*(F.when(F.col(k) == best, k) for k in LABELS))
-    return final.select("doc_id", "path", label.alias("label"), F.round(F.exp(best - total), 6).alias("confidence"))
+    return final.select("doc_id", "path", label.alias("label"), F.round(1 / total, 6).alias("confidence"))
 
 
 def label_shares(labels: DataFrame) -> DataFrame:
