@@ -40,6 +40,8 @@ FOLDERS = {
     "node_modules": ("vend", 40.0), "vendor": ("vend", 40.0), "_vendor": ("vend", 40.0), "third_party": ("vend", 40.0), "thirdparty": ("vend", 40.0), "third-party": ("vend", 40.0), "extern": ("vend", 40.0), "external": ("vend", 3.0),
     "bower_components": ("vend", 40.0), "site-packages": ("vend", 40.0), "deps": ("vend", 2.0), "generated": ("gen", 3.0), "__generated__": ("gen", 4.0), "gen": ("gen", 2.5), "autogen": ("gen", 4.0), "dist": ("mini", 1.0), "min": ("mini", 1.0),
 }
+#: A name of at least this weight speaks for all folders below it too.
+CERTAIN = 20.0
 _COMMENT = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#(?![ \t]*(?:include|define|if|el|end|pragma|undef)|!?\[)[^\n]*', re.M)
 _LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`|\b(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)\b|\b(?:true|false|null|nil|None|True|False)\b|[,\[\]{}:()+]')
 _TAIL = re.compile(r"^(?:[ \t]*(?://|#|\*|/\*)[^\n]*|[ \t]*\*?/?[ \t]*)$")
@@ -60,7 +62,7 @@ _ACCESS = re.compile(r"(get|set)(.+)", re.I)
 _NAME_MADE = re.compile(r"(?:_pb2(?:_grpc)?|\.pb|_gen|_generated|\.gen|\.generated|\.g|_autogen|\.designer)$", re.I)
 CODE_ENOUGH = 160
 #: What a text without any sign of another project says against a third-party copy.
-UNMARKED = 1.5
+UNMARKED = 2.5
 
 
 def _edges_of(text: str) -> tuple[str, str]:
@@ -190,11 +192,11 @@ def _parent(path: str) -> Column:
 
 def _said(label: str) -> Column:
     """What a folder's name says for a label."""
-    last = F.lower(F.substring_index("dir", "/", -1))
+    last, way = F.lower(F.substring_index("dir", "/", -1)), F.concat(F.lit("/"), F.lower("dir"), F.lit("/"))
     out = F.lit(0.0)
     for name, (k, w) in FOLDERS.items():
         if k == label:
-            out = F.when(last == name, F.lit(w)).otherwise(out)
+            out = F.when(way.contains(f"/{name}/") if w >= CERTAIN else last == name, F.lit(w)).otherwise(out)
     return out
 
 
