@@ -44,7 +44,8 @@ FUNCTION_WORDS = frozenset(
     le les l d une du des et ou que qui dans pour par sur est sont ne pas plus si au aux ce cette il elle on avec
     o os as um uma do da dos das e em não com por para se que il lo gli di e che in un una per con non""".split()
 )
-_URL = re.compile(r"https?://\S+|www\.\S+")
+_URL = re.compile(r"https?://[^\s)\]>]+|www\.[^\s)\]>]+")
+_EMPTY = re.compile(r"[(\[<]\s*[)\]>]")
 _ANCHOR = re.compile(r"\[([^\]\n]{0,120})\]\([^)\s]+\)|<a\s[^>]*>([^<]*)</a>")
 _LOG = re.compile(r"^\W{0,3}(?:\d{4}-\d\d-\d\d|\d\d[:/]\d\d[:/]\d\d|\[?\d{10,13}\]?)|^\s*(?:TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\b|^\s*at \S+\(|^Traceback |^\s+File \"")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
@@ -68,6 +69,8 @@ def line_symbol(line: str) -> tuple[str, int]:
     bare = _ANCHOR.sub(lambda m: f" {m.group(1) or m.group(2) or ''} ", s)
     anchors = len(_ANCHOR.findall(s))
     bare, urls = _URL.subn(" ", bare)
+    if urls:
+        bare = _EMPTY.sub(" ", bare)
     tokens = _WORD.findall(bare)
     cjk = len(_CJK.findall(bare))
     n = len(tokens) if not cjk else max(len(tokens), cjk // 2)
@@ -81,7 +84,7 @@ def line_symbol(line: str) -> tuple[str, int]:
         sentence = tail.endswith(("。", "！", "？", "．")) or bool(re.search(r"[ぁ-ん]{2}", bare) and "。" in bare)
     else:
         sentence = function >= 1 and function * 9 >= len(tokens) and len(tokens) >= 3 and (tail.endswith(_ENDS) or function * 4 >= len(tokens) >= 8)
-    if sentence and links * 5 <= n:
+    if sentence and links * 3 <= n:
         return ("x" if links else "s"), words
     if _CODE.search(line) and not links and function * 9 < max(len(tokens), 1) + 9 and len(_SEPARATOR.findall(s)) < 8:
         return "c", words
