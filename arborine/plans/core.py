@@ -14,6 +14,7 @@ from arborine.operators import resolve as R
 from arborine.operators import retrieve as V
 from arborine.operators import snapshot as S
 from arborine.operators import traverse as X
+from arborine.sources.extract import extracted_edges, extracted_symbols, parse_files
 from arborine.sources.scratch import Scratch
 from arborine.sources.tables import table
 from arborine.streaming.changes import ChangeState, change_stream, run_available
@@ -128,6 +129,18 @@ def raw_query(spark, d):
     return spark.sql("SELECT kind, count(*) AS edges, count(DISTINCT dst_id) AS targets FROM {edges} WHERE weight IS NOT NULL OR :all GROUP BY kind", args={"all": False}, edges=table(spark, d, "edges"))
 
 
+@_query()
+def extract_symbols(spark, d):
+    parsed = parse_files(table(spark, d, "documents").where("path is not null").select("path", "text"))
+    return extracted_symbols(parsed).distinct()
+
+
+@_query()
+def extract_edges(spark, d):
+    parsed = parse_files(table(spark, d, "documents").where("path is not null").select("path", "text"))
+    return extracted_edges(parsed).distinct()
+
+
 # lookups
 
 

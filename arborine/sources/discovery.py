@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 from fnmatch import translate
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborine.functions.languages import language_for
+from arborine.functions.languages import EXTENSIONS, IGNORED_DIRS, language_for
 from arborine.functions.text import discoverable
 
 
@@ -27,12 +29,36 @@ def _java(pattern: str) -> str:
 
 
 def discover_files(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """(path, language, content, content_hash) of the source files below ``root``, with paths relative to it."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(base)
-    rel = F.regexp_extract("path", f"{_quote(base)}/(.*)$", 1)
-    return selected(raw.select(rel.alias("path"), "content"), include, exclude).select("path", language_for(F.col("path")).alias("language"), "content", F.sha2("content", 256).alias("content_hash"))
+    """(path, language, content, content_hash, error) of the source files below the shared folder ``root``, with paths relative to it.
 
+    The entries of ``root`` (repositories, say) are walked and read by separate tasks. Spark's own file sources leave out names that
+    start with ``_`` or ``.``, which ``__init__.py`` does, so the tasks read the files themselves. A file that cannot be
+    read has null content and an error.
+    """
 
-def _quote(text: str) -> str:
-    return "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in text)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for top in batch["top"]:
+                for path in _files(root, top):
+                    try:
+                        with open(os.path.join(root, path), "rb") as f:
+                            row = (path, f.read(), None)
+                    except OSError as e:
+                        row = (path, None, f"read error: {e.strerror}")
+                    yield pd.DataFrame([row], columns=["path", "content", "error"])
+
+    tops = spark.createDataFrame([(e.name,) for e in os.scandir(root)], "top string")
+    found = tops.repartition("top").mapInPandas(walk, "path string, content binary, error string")
+    return selected(found, include, exclude).select("path", language_for(F.col("path")).alias("language"), "content", F.sha2("content", 256).alias("content_hash"), "error")
+
+
+def _files(root: str, top: str) -> Iterator[str]:
+    """Paths below one entry of ``root`` that may be source files; ignored and hidden folders are not entered."""
+    if os.path.isfile(os.path.join(root, top)):
+        yield top
+        return
+    for folder, inner, names in os.walk(os.path.join(root, top)):
+        inner[:] = sorted(d for d in inner if d not in IGNORED_DIRS and not d.startswith("."))
+        for name in sorted(names):
+            if name.rpartition(".")[2].lower() in EXTENSIONS:
+                yield os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
