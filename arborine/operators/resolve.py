@@ -31,23 +31,22 @@ def resolve_names(nodes: DataFrame, edges: DataFrame, kind: str, candidate_kinds
 
     Tiers: the same file, a file that the source's file imports, anywhere. Where the best tier has more than
     one candidate the name stays unresolved. A name's candidates at the last tier are settled once per
-    name, so a name that everyone uses is joined with its few candidates of the same and imported files only.
+    name, and those that a file's imports offer once per file and name, so no use of a popular name meets all its candidates.
     """
     wanted = edges.where((F.col("kind") == kind) & ~F.col("dst_id").contains("/")).select("src_id", F.col("dst_id").alias("name")).distinct()
     sources = nodes.where("path <> ''").select(F.col("id").alias("src_id"), F.col("path").alias("src_path"))
     asked = wanted.join(sources, "src_id")
     found = nodes.where(F.col("kind").isin(*candidate_kinds) & (F.col("path") != "")).select("id", "name", "path")
     other = F.col("id") != F.col("src_id") if exclude_self else F.lit(True)
-    same = asked.join(found, (asked["name"] == found["name"]) & (asked["src_path"] == found["path"])).where(other).select("src_id", asked["name"], "id", F.lit(0).alias("tier"))
-    near = (
-        asked.join(imports, asked["src_path"] == imports["importer"]).select("src_id", "name", F.col("imported").alias("path"))
-        .join(found, ["name", "path"]).where(other).select("src_id", "name", "id", F.lit(1).alias("tier"))
-    )
-    close = same.unionByName(near).distinct()
-    best = close.groupBy("src_id", "name").agg(F.min("tier").alias("tier"), F.min_by("id", "tier").alias("id"), F.count_if(F.col("tier") == 0).alias("n0"), F.count_if(F.col("tier") == 1).alias("n1"))
-    settled = best.where("case when tier = 0 then n0 else n1 end = 1").select("src_id", "name", F.col("id").alias("dst_id"))
+    same = asked.join(found, (asked["name"] == found["name"]) & (asked["src_path"] == found["path"])).where(other).select("src_id", asked["name"], "id")
+    same = same.groupBy("src_id", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"), F.lit(0).alias("tier"))
+    known = imports.where("importer <> imported").distinct().join(found, F.col("imported") == F.col("path"))
+    known = known.groupBy(F.col("importer").alias("src_path"), "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
+    near = asked.join(known, ["src_path", "name"]).select("src_id", "name", "n", "id", F.lit(1).alias("tier"))
+    close = same.unionByName(near).groupBy("src_id", "name").agg(F.min_by(F.struct("n", "id"), "tier").alias("best"))
+    settled = close.where("best.n = 1").select("src_id", "name", F.col("best.id").alias("dst_id"))
     anywhere = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n <= 2")
-    far = asked.join(best.select("src_id", "name"), ["src_id", "name"], "left_anti").join(anywhere, "name")
+    far = asked.join(close.select("src_id", "name"), ["src_id", "name"], "left_anti").join(anywhere, "name")
     if exclude_self:
         pick = F.when(F.col("n") == 1, F.when(F.col("low") != F.col("src_id"), F.col("low"))).when(F.col("low") == F.col("src_id"), F.col("high")).when(F.col("high") == F.col("src_id"), F.col("low"))
     else:

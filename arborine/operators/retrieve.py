@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arborine.functions.embedding import DIM, hashing_embedder, score
 from arborine.functions.text import estimate_tokens
+from arborine.operators.skew import ranked
 from arborine.sources.scratch import Scratch
 
 BLOCK = 2048
@@ -73,13 +74,12 @@ def expand(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return seeds.withColumn("is_seed", F.lit(True)).unionByName(new.select("prompt_id", "id", F.lit(EXPANSION_SCORE).alias("score"), F.lit(False).alias("is_seed")))
 
 
-def budget_prefix(ranked: DataFrame, group: str, order: list, cost: str, budget: int) -> DataFrame:
+def budget_prefix(rows: DataFrame, group: str, order: list, cost: str, budget: int) -> DataFrame:
     """The first rows of each group whose running cost stays within ``budget``; the very first row always stays.
 
     Costs are at least 1, so the running cost only grows and the cut is where it first passes the budget.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    running = ranked.withColumn("total", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w).cast("long"))
+    running = ranked(rows, group, order, Scratch(rows.sparkSession, "budget"), cost)
     return running.where((F.col("total") <= budget) | (F.col("rank") == 1))
 
 

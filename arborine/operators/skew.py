@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborine.sources.scratch import Scratch
+
 #: A key with more than this share of the rows is heavy, so at most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 0.005
 #: Below this many rows no key is worth a path of its own.
@@ -37,6 +39,28 @@ def join_skewed(rows: DataFrame, dim: DataFrame, key: str, n_rows: int, how: str
     )
 
 
+def ranked(rows: DataFrame, group: str, order: list[str | Column], scratch: Scratch, cost: str | None = None) -> DataFrame:
+    """``rows`` with ``rank``, their 1-based place in their group by ``order``, and ``total``, the running sum of ``cost``.
+
+    A group may hold any share of the rows: they are sorted by range across all tasks, each range is ranked for
+    itself, and what a group has in earlier ranges is added from a small table of one row per group and range. ``order``
+    must tell rows apart, as equal rows stay in one range. Null groups form one group.
+    """
+    keys = [group, *order]
+    placed = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism * 4, *keys).withColumn("_range", F.spark_partition_id())
+    placed = scratch.save(placed, "ranges")
+    within = Window.partitionBy(group, "_range").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    size = [F.count(F.lit(1)).alias("_n"), F.sum(cost if cost else F.lit(0)).alias("_c")]
+    before = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(*size)
+    parts = parts.select("_group", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c"))
+    local = placed.withColumn("rank", F.row_number().over(within).cast("long")).withColumn("total", F.sum(cost if cost else F.lit(0)).over(upto))
+    met = local.join(parts, local[group].eqNullSafe(parts["_group"]) & (local["_range"] == parts["_at"]))
+    out = met.withColumn("rank", F.col("rank") + F.col("_n")).withColumn("total", (F.col("total") + F.col("_c")).cast("long"))
+    return out.drop("_group", "_at", "_n", "_c", "_range", *([] if cost else ["total"]))
+
+
 def salted_distinct(rows: DataFrame, key: str, value: str, heavy: DataFrame | None, salts: int = 64) -> DataFrame:
     """Distinct ``value`` per ``key`` in two stages, as (key, n).
 

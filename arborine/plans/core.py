@@ -14,6 +14,7 @@ from arborine.operators import resolve as R
 from arborine.operators import retrieve as V
 from arborine.operators import snapshot as S
 from arborine.operators import traverse as X
+from arborine.operators.skew import ranked
 from arborine.sources.extract import extracted_edges, extracted_symbols, parse_files
 from arborine.sources.scratch import Scratch
 from arborine.sources.tables import table
@@ -387,8 +388,8 @@ def budget_prefix(spark, d):
 
 @_query(f"WITH {_BASE}, r AS (SELECT language, path, row_number() OVER (PARTITION BY language ORDER BY id) AS rank FROM sym) SELECT language AS prompt_id, path, min(rank) AS rank FROM r WHERE path <> '' GROUP BY language, path")
 def context_files(spark, d):
-    ranked = nodes(spark, d).select(F.col("language").alias("prompt_id"), "path", F.row_number().over(Window.partitionBy("language").orderBy("id")).cast("long").alias("rank"))
-    return V.context_files(ranked)
+    rows = nodes(spark, d).select(F.col("language").alias("prompt_id"), "path", "id")
+    return V.context_files(ranked(rows, "prompt_id", ["id"], Scratch(spark, "files")))
 
 
 @_query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY parsed_at DESC NULLS LAST, content_hash DESC NULLS LAST, n_nodes DESC NULLS LAST, n_edges DESC NULLS LAST, error DESC NULLS LAST) AS rn FROM parse_results WHERE path IS NOT NULL)
