@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Temporary folders of local sessions without the setting, by application.
+_own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -25,10 +27,11 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="arborine-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set(SETTING, f"file://{own}")
-    return f"file://{own}"
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="arborine-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return f"file://{_own[app]}"
 
 
 class Scratch:
