@@ -1,7 +1,8 @@
 """Pages made of repeated keywords, link lists or product tags instead of sentences.
 
 Each line of a page (a long line is cut after its sentences) becomes one symbol by its
-outward form. A hidden Markov model with the states prose, link list, tag list and menu
+outward form; where more than half of a line's words are the few words that dominate the whole
+page, it is a repetition, sentence or not. A hidden Markov model with the states prose, link list, tag list and menu
 labels the lines; its tables start from the priors below and are re-estimated from the counts of
 Viterbi paths over the whole corpus, where the priors weigh as much as the data. A page is
 flagged if more than half of its words stand in lines of the other three states. Logs and code
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +61,18 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _ENDS = (".", "!", "?", "。", "！", "？", "…", ":", ".)", ".\"", "»", "؟", "।")
 _SENTENCES = re.compile(r"(?<=[.!?。])\s+|(?<=[。！？])")
 LONG_LINE = 240
+#: Lines of these symbols become repetitions where words that dominate the page fill them.
+_PLAIN = frozenset("sxboh")
+#: The words that dominate a page: at most so many, each with at least this share of the page's words and so many places.
+DOMINANT, DOMINANT_SHARE, DOMINANT_TIMES = 4, 0.05, 5
+
+
+def _bare(s: str) -> tuple[str, int, int]:
+    """A line without its link targets, and its numbers of anchors and of bare links."""
+    bare = _ANCHOR.sub(lambda m: f" {m.group(1) or m.group(2) or ''} ", s)
+    anchors = len(_ANCHOR.findall(s))
+    bare, urls = _URL.subn(" ", bare)
+    return (_EMPTY.sub(" ", bare) if urls else bare), anchors, urls
 
 
 def line_symbol(line: str) -> tuple[str, int]:
@@ -66,11 +80,7 @@ def line_symbol(line: str) -> tuple[str, int]:
     s = line.strip()
     if not s:
         return "e", 0
-    bare = _ANCHOR.sub(lambda m: f" {m.group(1) or m.group(2) or ''} ", s)
-    anchors = len(_ANCHOR.findall(s))
-    bare, urls = _URL.subn(" ", bare)
-    if urls:
-        bare = _EMPTY.sub(" ", bare)
+    bare, anchors, urls = _bare(s)
     tokens = _WORD.findall(bare)
     cjk = len(_CJK.findall(bare))
     n = len(tokens) if not cjk else max(len(tokens), cjk // 2)
@@ -108,27 +118,41 @@ def line_symbol(line: str) -> tuple[str, int]:
     return ("b" if n <= 8 else "o"), words
 
 
+def _repetitions(symbols: list[str], lines: list[str]) -> list[str]:
+    """``symbols`` with "r" for plain lines of which the page's dominant words are more than half; code and logs have no part in it.
+
+    Words with CJK signs are not told apart by spaces and dominate nothing.
+    """
+    said = [[] if k in "ecl" else [t.lower() for t in _WORD.findall(_bare(line)[0])] for k, line in zip(symbols, lines)]
+    total = sum(map(len, said))
+    counts = Counter(w for words in said for w in words if w not in FUNCTION_WORDS and not w.isdigit() and not _CJK.search(w))
+    least = max(DOMINANT_TIMES, DOMINANT_SHARE * total)
+    dominant = {w for w, n in counts.most_common(DOMINANT) if n >= least}
+    if not dominant:
+        return symbols
+    return ["r" if k in _PLAIN and 2 * sum(w in dominant for w in words) > len(words) else k for k, words in zip(symbols, said)]
+
+
 def page_symbols(text: str) -> tuple[str, list[int]]:
     """Symbols and word numbers of all lines of a page; lines within code fences are code."""
-    symbols, words, fenced = [], [], False
+    symbols, words, lines, fenced = [], [], [], False
     for line in text.splitlines():
         if line.lstrip()[:3] in ("```", "~~~"):
             fenced = not fenced
             symbols.append("c")
             words.append(0)
+            lines.append("")
         elif fenced:
             symbols.append("c")
             words.append(len(line.split()))
-        elif len(line) > LONG_LINE:
-            for part in _SENTENCES.split(line):
+            lines.append("")
+        else:
+            for part in _SENTENCES.split(line) if len(line) > LONG_LINE else [line]:
                 k, n = line_symbol(part)
                 symbols.append(k)
                 words.append(n)
-        else:
-            k, n = line_symbol(line)
-            symbols.append(k)
-            words.append(n)
-    return "".join(symbols), words
+                lines.append(part)
+    return "".join(_repetitions(symbols, lines)), words
 
 
 def tables(counts: dict[str, float] | None = None, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -127,6 +127,17 @@ def test_spam_pages(spark):
     assert spam_pages(docs(spark, [])).count() == 0
 
 
+def test_stuffed_sentences_are_repetitions(spark):
+    said = "Segment license key is the segment license key you need. Get segment license key now! Our segment license key beats any other segment license key. Looking for segment license key? Segment license key here. "
+    log = "\n".join(f"2025-01-01 10:00:{i} WARN segment license key failed" for i in range(50))
+    rows = [(1, said * 8, None, None, None), (2, said.replace(". ", ".\n") * 4, None, None, None), (3, PROSE * 6 + said, None, None, None), (4, log, None, None, None), (5, PROSE * 2 + said * 4, None, None, None), (6, said.replace("! ", "! (https://x.example/a) ") * 8, None, None, None)]
+    assert line_symbol("Segment license key is the segment license key you need.")[0] == "s"
+    assert set(page_symbols((said * 8).strip())[0]) == {"r"} and "r" not in page_symbols(PROSE * 6 + said)[0][:12]
+    template = "".join(f"Nous avons déplacé le {a} après deux échecs du {b}. " for a, b in itertools.permutations(("ticket", "funnel", "quota", "glyph"), 2))
+    assert "r" not in page_symbols(template)[0]
+    assert sorted(r.doc_id for r in spam_pages(docs(spark, rows)).collect()) == [1, 2, 5, 6]
+
+
 # documentation
 
 
