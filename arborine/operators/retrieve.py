@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from arborine.functions.embedding import DIM, hashing_embedder, score
 from arborine.functions.text import estimate_tokens
@@ -19,37 +21,58 @@ BLOCK = 2048
 EXPANSION_SCORE = 0.25
 
 
-def _blocks(vectors: DataFrame, n: int, prefix: str) -> DataFrame:
-    """About ``BLOCK`` rows each of (id, vector), packed into one row per block."""
-    block = F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / BLOCK))))
-    return vectors.groupBy(block.alias(f"{prefix}_block")).agg(F.collect_list("id").alias(f"{prefix}_ids"), F.collect_list("vector").alias(f"{prefix}_vectors"))
+def _query_blocks(folder: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, ids, matrix) of each block of the query table in ``folder``, always in one order."""
+    files = ds.dataset(folder, format="parquet")
+    place = 0
+    for path in sorted(files.files):
+        with files.filesystem.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(BLOCK, columns=["id", "vector"]):
+                if len(batch):
+                    yield place, *_matrix(batch)
+                    place += len(batch)
+
+
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a batch of (id, vector)."""
+    return np.array(batch.column(0).to_pylist()), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` vectors of least squared distance for every query, ties by id.
 
-    Both sides are (id, vector) with vectors of one length; rows with a null vector are left out. The search is exact: blocks of queries
-    meet blocks of vectors as one matrix product each, and every task hands on only the best ``k`` of each query.
+    Both sides are (id, vector) with vectors of one length; rows with a null vector are left out. The search is exact: the queries are
+    written once and read block by block in every task, so vectors are neither packed nor copied; a block of queries meets a block of
+    vectors as a matrix product and hands on only its best ``k`` of each query, less what an earlier block of the task has beaten.
     """
     vectors, queries = (x.where(F.col("vector").isNotNull()).select("id", "vector") for x in (vectors, queries))
-    pairs = _blocks(vectors, vectors.count(), "v").crossJoin(_blocks(queries, queries.count(), "q"))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
-        for frame in frames:
-            for row in frame.itertuples():
-                v, q = np.array(list(row.v_vectors), dtype=np.float64), np.array(list(row.q_vectors), dtype=np.float64)
-                ids = np.asarray(row.v_ids)
-                d = np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0)
-                for i, qid in enumerate(row.q_ids):
-                    near = np.lexsort((ids, d[i]))[:k]
-                    exact = ((v[near] - q[i]) ** 2).sum(1)
-                    best[qid] = sorted([*best.get(qid, []), *zip(exact.tolist(), ids[near].tolist())])[:k]
-        rows = [(q, i, x) for q, found in best.items() for x, i in found]
-        yield pd.DataFrame(rows, columns=["query_id", "id", "distance"])
-
-    kind = vectors.schema["id"].dataType.simpleString()
-    part = pairs.mapInPandas(search, f"query_id {kind}, id {kind}, distance double")
+    scratch = Scratch(vectors.sparkSession, "knn")
+    folder = scratch.save(queries, "queries")._scratch_path
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            all_ids, all_v = _matrix(batch)
+            for place, qids, q in _query_blocks(folder):
+                limit = limits.setdefault(place, np.full(len(qids), np.inf))
+                for at in range(0, len(all_ids), BLOCK):
+                    ids, v = all_ids[at : at + BLOCK], all_v[at : at + BLOCK]
+                    d = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
+                    if len(ids) > k:
+                        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+                        limits[place] = limit
+                    qi, vi = np.nonzero(d <= (limit + 1e-8)[:, None])
+                    exact = np.concatenate([((v[vi[i : i + BLOCK]] - q[qi[i : i + BLOCK]]) ** 2).sum(1) for i in range(0, len(qi), BLOCK)] or [np.zeros(0)])
+                    order = np.lexsort((ids[vi], exact.round(9), qi))
+                    qi, vi, exact = qi[order], vi[order], exact[order]
+                    best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[qi[best]].tolist(), kind), pa.array(ids[vi[best]].tolist(), kind), pa.array(exact[best])], ["query_id", "id", "distance"])
+
+    kind = to_arrow_type(vectors.schema["id"].dataType)
+    name = vectors.schema["id"].dataType.simpleString()
+    part = vectors.mapInArrow(search, f"query_id {name}, id {name}, distance double")
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
     return part.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -91,13 +114,14 @@ def context_files(selected: DataFrame) -> DataFrame:
 def prune_context(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, prompts: DataFrame, token_budget: int = 8000, top_k: int = 20, dim: int = DIM) -> DataFrame:
     """(prompt_id, id, name, path, score, cost, total, rank): the context of each prompt (prompt_id, prompt) within a budget of tokens.
 
+    A prompt is read whole. A null one, or one without tokens, is as far from every symbol that has tokens, so ids decide.
     Nearest symbols, their neighbours at a fixed score, ranked by score (seeds first, then by id) and cut by running cost.
     """
     scratch = Scratch(nodes.sparkSession, "context")
     asked = scratch.save(prompts.select(F.col("prompt_id").cast("string").alias("id"), hashing_embedder(dim)(F.col("prompt")).alias("vector")), "prompts")
     named = scratch.save(vectors.select("id", "vector"), "vectors")
     hits = knn(named, asked, top_k).select(F.col("query_id").alias("prompt_id"), "id", "distance")
-    pool = expand(seed_scores(hits), edges)
+    pool = expand(scratch.save(seed_scores(hits), "seeds"), edges)
     known = nodes.select("id", "name", "path", "signature")
     rows = pool.join(known, "id", "left").select("prompt_id", "id", F.coalesce(F.nullif("name", F.lit("")), "id").alias("name"), F.coalesce("path", F.lit("")).alias("path"), "signature", "score", "is_seed")
     rows = rows.withColumn("cost", estimate_tokens(F.coalesce(F.nullif("signature", F.lit("")), "name")))

@@ -374,7 +374,7 @@ def seed_scores(spark, d):
 @_query()
 def prune_context(spark, d):
     n = nodes(spark, d)
-    prompts = table(spark, d, "documents").where("doc_id % 50 = 0 and path is null and length(text) > 0").select(F.col("doc_id").cast("string").alias("prompt_id"), T.doc_summary(F.col("text")).alias("prompt"))
+    prompts = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").cast("string").alias("prompt_id"), F.col("text").cast("string").alias("prompt"))
     return V.prune_context(n, edges(spark, d), V.symbol_vectors(n), prompts, token_budget=8000)
 
 

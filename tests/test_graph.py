@@ -1,11 +1,14 @@
 """The code graph: extraction, resolution, lookups, traversal, retrieval, upkeep."""
 
+import hashlib
 import random
+import re
 
 import pytest
 
 from arborine.api import CodeGraph
 from arborine.functions import text as T
+from arborine.functions.embedding import token_features
 from arborine.operators import metrics as M
 from arborine.operators import resolve as R
 from arborine.operators import retrieve as V
@@ -211,6 +214,45 @@ def test_search_and_context(spark):
     assert g.search_architecture_graph("woof").count() > 3
 
 
+def test_prune_context_reads_prompts_whole(spark, tmp_path):
+    from arborine.plans.core import QUERIES
+
+    def embedded(text):
+        v = [0.0] * 384
+        for token in re.findall("[A-Za-z0-9]+", text or ""):
+            for feature in token_features(token):
+                value = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+                v[value % 384] += 1.0 if value >> 63 else -1.0
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v] if n else v
+
+    rng = random.Random(5)
+    words = ["walrus", "heron", "otter", "lynx", "gecko", "tapir", "ibex", "newt"]
+    symbols = [(f"m{i}.py::f{i:02}", "function", f"f{i:02}", f"m{i}.f{i:02}", f"m{i}.py", "def " + "_".join(rng.choices(words, k=3)) + f"_{i}()") for i in range(60)]
+    links = [(rng.choice(symbols)[0], rng.choice([*(s[0] for s in symbols), "outside"]), "calls") for _ in range(90)]
+    far = "The first line says nothing of it. " * 8 + "\n\n" + "heron otter gecko " * 9
+    prompts = {0: (far, None), 50: ("import tapir\nnewt_lynx = ibex()\n" * 3, "a/b.py"), 100: (None, None), 150: ("", "c.py"), 200: ("walrus walrus", None), 250: (" \n lynx", "d.py"), 251: ("heron", None)}
+    stamp = F.lit("2025-01-01").cast("timestamp_ntz")
+    rows = spark.createDataFrame(symbols, "id string, kind string, name string, qualified_name string, path string, signature string")
+    rows = rows.withColumns({"language": F.lit("python"), "docstring": F.lit(""), "start_line": F.lit(1), "end_line": F.lit(2), "indexed_at": stamp})
+    rows.write.parquet(f"{tmp_path}/symbols.parquet")
+    spark.createDataFrame(links, "src_id string, dst_id string, kind string").withColumn("indexed_at", stamp).write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(i, t, p) for i, (t, p) in prompts.items()], "doc_id long, text string, path string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors, want = {s[0]: embedded(s[5]) for s in symbols}, set()
+    for i, (text, _) in prompts.items():
+        if i % 50:
+            continue
+        q = embedded(text)
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(q, v)), 9), k) for k, v in vectors.items())[:20]
+        found = {k: 1 / (1 + x) for x, k in near}
+        more = {b for a, b, _ in links if a in found} | {a for a, b, _ in links if b in found}
+        want |= {(str(i), k, round(x, 6)) for k, x in found.items()} | {(str(i), k, 0.25) for k in more - set(found)}
+    got = QUERIES["prune_context"](spark, str(tmp_path)).collect()
+    assert {(r.prompt_id, r.id, r.score) for r in got} == want and len(got) == len(want)
+    ranks = {p: sorted(r["rank"] for r in got if r.prompt_id == p) for p in {r.prompt_id for r in got}}
+    assert ranks.keys() == {"0", "50", "100", "150", "200", "250"} and all(x == list(range(1, len(x) + 1)) for x in ranks.values())
+
+
 @pytest.mark.parametrize("budget", [1, 5, 17, 1000])
 def test_budget_prefix(spark, budget):
     costs = [3, 4, 1, 9, 2]
