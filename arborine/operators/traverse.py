@@ -41,6 +41,11 @@ def blast_radius(edges: DataFrame, changed: DataFrame, max_depth: int = 3) -> Da
     return reverse_reach(steps, changed, max_depth).withColumn("is_test", is_test_file(F.col("id")))
 
 
+def impacted_symbols(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """(path, id, qualified_name): the symbols defined in the changed files (path)."""
+    return nodes.where("kind <> 'file'").join(changed.select("path").distinct(), "path", "left_semi").select("path", "id", "qualified_name")
+
+
 def symbol_impact(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: int = 4) -> DataFrame:
     """(seed, id, path, depth, is_test): nodes that call or extend each changed symbol (id), over up to ``max_depth`` steps."""
     real = nodes.where("path <> ''").select("id", "path")

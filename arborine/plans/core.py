@@ -283,6 +283,26 @@ def blast_radius(spark, d):
     return X.blast_radius(e, L.hubs(n, e).select(F.col("path").alias("id")))
 
 
+def _changed_paths(spark, d) -> DataFrame:
+    return table(spark, d, "file_changes").where("path is not null").select("path").distinct()
+
+
+@_query(f"WITH {_BASE} SELECT path, id, qualified_name FROM sym WHERE kind <> 'file' AND path IN (SELECT path FROM file_changes)")
+def impacted_symbols(spark, d):
+    return X.impacted_symbols(nodes(spark, d), _changed_paths(spark, d))
+
+
+@_query()
+def changed_files_reach(spark, d):
+    return X.blast_radius(edges(spark, d), _changed_paths(spark, d).withColumnRenamed("path", "id"))
+
+
+@_query()
+def changed_symbols_reach(spark, d):
+    n = nodes(spark, d)
+    return X.symbol_impact(n, edges(spark, d), X.impacted_symbols(n, _changed_paths(spark, d)))
+
+
 # scalars
 
 

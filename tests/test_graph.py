@@ -253,6 +253,39 @@ def test_prune_context_reads_prompts_whole(spark, tmp_path):
     assert ranks.keys() == {"0", "50", "100", "150", "200", "250"} and all(x == list(range(1, len(x) + 1)) for x in ranks.values())
 
 
+def test_changed_paths_seed_the_reach(spark, tmp_path):
+    from arborine.plans.core import QUERIES
+
+    rng = random.Random(7)
+    stamp = F.lit("2025-01-01").cast("timestamp_ntz")
+    files = [f"d{i}.py" for i in range(24)]
+    symbols = [(p, "file", p, p[:-3], p) for p in files] + [(f"{p}::{k}{j}", k, f"{k}{j}", f"{p[:-3]}.{k}{j}", p) for p in files for j, k in enumerate(("class", "function", "method"))]
+    inner = [s[0] for s in symbols if s[1] != "file"]
+    links = [(rng.choice(files), rng.choice(files), "imports") for _ in range(40)] + [(rng.choice(inner), rng.choice(inner), rng.choice(("calls", "inherits"))) for _ in range(90)]
+    changed = [*files[:20], files[0], "gone.py", None]
+    rows = spark.createDataFrame(symbols, "id string, kind string, name string, qualified_name string, path string").withColumns({c: F.lit("") for c in ("language", "signature", "docstring")})
+    rows.withColumns({"start_line": F.lit(1), "end_line": F.lit(2), "indexed_at": stamp}).write.parquet(f"{tmp_path}/symbols.parquet")
+    spark.createDataFrame(links, "src_id string, dst_id string, kind string").withColumn("indexed_at", stamp).write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(p, False, i) for i, p in enumerate(changed)], "path string, removed boolean, seq long").write.parquet(f"{tmp_path}/file_changes.parquet")
+
+    def reach(seeds, kinds, depth):
+        out = set()
+        for seed in seeds:
+            seen = {seed}
+            for k in range(1, depth + 1):
+                new = {a for a, b, kind in links if kind in kinds and b in seen} - seen
+                out |= {(seed, a, k) for a in new}
+                seen |= new
+        return out
+
+    defined = {(s[4], s[0], s[3]) for s in symbols if s[1] != "file" and s[4] in changed}
+    assert {tuple(r) for r in QUERIES["impacted_symbols"](spark, str(tmp_path)).collect()} == defined and len(defined) == 60
+    got = [(r.seed, r.id, r.depth) for r in QUERIES["changed_files_reach"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(reach({p for p in changed if p}, ("imports",), 3))
+    got = [(r.seed, r.id, r.depth) for r in QUERIES["changed_symbols_reach"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(reach({i for _, i, _ in defined}, ("calls", "inherits"), 4))
+
+
 @pytest.mark.parametrize("budget", [1, 5, 17, 1000])
 def test_budget_prefix(spark, budget):
     costs = [3, 4, 1, 9, 2]
