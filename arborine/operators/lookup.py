@@ -84,6 +84,15 @@ def neighbours(edges: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] = (),
     return seen.where("depth > 0").select("seed", F.col("at").alias("id"), "depth")
 
 
+def all_neighbours(edges: DataFrame) -> DataFrame:
+    """(seed, id, depth): ids one step from every id of the graph, placeholders included, along edges of any kind.
+
+    As every end of an edge is a seed, the edges are the result and no join has to bring the rows of a heavy id together.
+    """
+    out = edges.where("src_id <> dst_id").select(F.col("src_id").alias("seed"), F.col("dst_id").alias("id"))
+    return out.unionByName(out.select(F.col("id").alias("seed"), F.col("seed").alias("id"))).distinct().withColumn("depth", F.lit(1).cast("long"))
+
+
 def file_outline(nodes: DataFrame) -> DataFrame:
     """(path, id, kind, name, signature, start_line, end_line, summary): the symbols of each file."""
     return nodes.where("kind <> 'file'").select("path", "id", "kind", "name", "signature", "start_line", "end_line", F.coalesce(doc_summary(F.col("docstring")), F.lit("")).alias("summary"))

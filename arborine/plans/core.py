@@ -196,6 +196,11 @@ def graph_expand(spark, d):
     return L.neighbours(edges(spark, d), nodes(spark, d).where("kind = 'class'").select("id"), ("inherits",), depth=2)
 
 
+@_query(f"WITH {_BASE} SELECT src_id AS seed, dst_id AS id, CAST(1 AS BIGINT) AS depth FROM e WHERE src_id <> dst_id UNION SELECT dst_id, src_id, CAST(1 AS BIGINT) FROM e WHERE src_id <> dst_id")
+def graph_expand_all(spark, d):
+    return L.all_neighbours(edges(spark, d))
+
+
 @_query(rf"""WITH {_BASE} SELECT path, id, kind, name, signature, start_line, end_line,
 coalesce(CASE WHEN length(line) > 120 THEN line[:119] || '…' ELSE line END, '') AS summary
 FROM (SELECT *, trim(regexp_split_to_array(regexp_replace(docstring, '^\s+|\s+$', '', 'g'), '\r\n|[\n\r]')[1]) AS line FROM sym) WHERE kind <> 'file'""")

@@ -214,6 +214,20 @@ def test_search_and_context(spark):
     assert g.search_architecture_graph("woof").count() > 3
 
 
+def test_every_id_is_expanded_along_every_kind(spark, tmp_path):
+    from arborine.plans.core import QUERIES
+
+    stamp = F.lit("2025-01-01").cast("timestamp_ntz")
+    ids = [f"a.py::f{i}" for i in range(30)]
+    links = [("a.py", i, "defines") for i in ids] + [(i, "hub", "calls") for i in ids] + [(ids[0], ids[1], "inherits"), (ids[1], ids[0], "calls"), (ids[2], ids[2], "calls"), ("a.py", "json", "imports"), ("nowhere", ids[3], "calls"), (ids[0], "hub", "inherits")]
+    rows = spark.createDataFrame([("a.py", "file"), *((i, "function") for i in ids)], "id string, kind string").withColumns({c: F.lit("") for c in ("name", "qualified_name", "language", "signature", "docstring")})
+    rows.withColumns({"path": F.lit("a.py"), "start_line": F.lit(1), "end_line": F.lit(2), "indexed_at": stamp}).write.parquet(f"{tmp_path}/symbols.parquet")
+    spark.createDataFrame(links, "src_id string, dst_id string, kind string").withColumn("indexed_at", stamp).write.parquet(f"{tmp_path}/edges.parquet")
+    real = {(a, b) for a, b, _ in links if a != "nowhere" and a != b}
+    got = [tuple(r) for r in QUERIES["graph_expand_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((a, b, 1) for a, b in real | {(b, a) for a, b in real})
+
+
 def test_prune_context_reads_prompts_whole(spark, tmp_path):
     from arborine.plans.core import QUERIES
 
