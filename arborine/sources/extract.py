@@ -1,8 +1,8 @@
 """Symbols and edges out of source texts, as rows.
 
 Python is read with the interpreter's own parser; other languages by their declarations, calls and balanced
-brackets in the text without comments and strings. A file that cannot be parsed keeps its file row and reports an
-error. Each text is one row in and its symbols and edges are rows out, so Spark spreads the work by file.
+brackets in the text without comments and strings. A file that cannot be parsed reports an error; of a Python file the declarations
+and imports are then found by lines and indentation. Each text is one row in and its symbols and edges are rows out, so Spark spreads the work by file.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ BUILTINS = frozenset(
 )
 #: Languages whose calls count (fixed values).
 CALLING = frozenset("python javascript typescript tsx go rust java".split())
+#: Languages whose signatures name no parameters (fixed values).
+PLAIN_SIGNATURES = frozenset(("c", "cpp"))
 DOC_CHARS = 500
 _BLANK = re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)'|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _KEYWORDS = frozenset("if for while switch catch return else do try new throw typeof sizeof await yield match loop function func fn def class".split())
@@ -111,6 +113,33 @@ def _python(text: str, rows: _Rows) -> None:
     visit(ast.parse(text), (rows.path, rows.module), "module")
 
 
+_PY_HEAD = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)([^\n]*)", re.M)
+_PY_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import\b|import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?))", re.M)
+
+
+def _python_lines(text: str, rows: _Rows) -> None:
+    """Declarations and imports of a Python text that does not parse, by lines and their indentation; calls are left out."""
+    bare = re.sub(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''", lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    rows.edges.extend((rows.path, m[1] or m[2], "imports") for m in _PY_IMPORT.finditer(bare) if m[1] != "__future__")
+    owners = [(-1, (rows.path, rows.module), "module")]
+    for m in _PY_HEAD.finditer(bare):
+        pad = len(m[1].expandtabs(8))
+        while owners[-1][0] >= pad:
+            owners.pop()
+        after = re.compile(rf"^[ \t]{{0,{pad}}}[^\s#)\]]", re.M).search(bare, m.end())
+        start, end = bare.count("\n", 0, m.start()) + 1, bare.count("\n", 0, after.start() if after else len(bare.rstrip())) + (0 if after else 1)
+        opened = text.find("(", m.start(3)) if m[4].lstrip().startswith("(") else -1
+        closed = _closing(text, opened)
+        owner, inside = owners[-1][1:]
+        if m[2] == "class":
+            me = rows.add("class", m[3], owner, "", "", start, end)
+            bases = text[opened + 1 : closed - 1] if closed > 0 else ""
+            rows.edges.extend((me[0], base, "inherits") for b in bases.split(",") if "=" not in b and (base := b.strip().rsplit(".", 1)[-1]).isidentifier())
+        else:
+            me = rows.add("method" if inside == "class" else "function", m[3], owner, m[3] + (text[opened:closed] if closed > 0 else "()"), "", start, end)
+        owners.append((pad, me, "class" if m[2] == "class" else "function"))
+
+
 def _closing(text: str, at: int) -> int:
     """The place behind the bracket that closes the one at ``at``, -1 if there is none."""
     if at < 0:
@@ -169,7 +198,7 @@ def _brackets(text: str, language: str, rows: _Rows) -> None:
                 continue
         opened = bare.find("(", m.end() - (1 if called else 0))
         end = _closing(bare, opened)
-        parameters = text[opened:end] if end > 0 else "()"
+        parameters = text[opened:end] if end > 0 and language not in PLAIN_SIGNATURES else "()"
         start = bare.find("{", max(end, m.end()))
         stop = bare.find(";", max(end, m.end()))
         close = _closing(bare, start) if start >= 0 and not 0 <= stop < start else (stop + 1 if stop > 0 else len(bare))
@@ -193,6 +222,8 @@ def parse_text(path: str, text: str | None) -> tuple[str | None, list[tuple], li
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         error = f"parse error: {type(e).__name__}"
         del rows.symbols[1:], rows.edges[:]
+        if language == "python":
+            _python_lines(text, rows)
     return language, rows.symbols, rows.edges, error
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from arborine.functions.text import discoverable, normal_path
 from arborine.operators.snapshot import collapse_events
+from arborine.sources.versions import Versions
 
+STATE = "path string, removed boolean, seq long"
 EVENTS = "path string, removed boolean, seq long, changed_at timestamp_ntz"
 
 
@@ -23,23 +25,29 @@ def change_stream(spark: SparkSession, folder: str, files_per_batch: int = 1, fm
 
 
 class ChangeState:
-    """The last event per path, kept as one table per batch in the given folder."""
+    """The last event per path, as a base table and one small table per batch since, all in the given folder.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder, self.current = spark, folder, None
+    A batch writes its own events only; after ``every`` batches they are folded into a new base. As the last event is that of the
+    greatest ``seq``, the order of batches does not matter and a batch that is replayed changes nothing. A restarted session finds
+    base and batches in the folder.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, every: int = 16) -> None:
+        self.spark, self.every = spark, every
+        self.base, self.log = Versions(spark, f"{folder}/base", STATE), Versions(spark, f"{folder}/log", STATE)
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        new = collapse_events(batch)
-        if self.current is not None:
-            new = collapse_events(self.spark.read.parquet(self.current).select("path", "removed", "seq").unionByName(new))
-        target = f"{self.folder}/state-{batch_id:06d}"
-        new.write.mode("overwrite").parquet(target)
-        self.current = target
+        self.log.write(collapse_events(batch), batch_id, keep=None)
+        known = self.log.numbers()
+        if len(known) >= self.every:
+            self.base.write(self.table())
+            self.log.remove(known)
 
     def table(self) -> DataFrame:
-        if self.current is None:
-            return self.spark.createDataFrame([], "path string, removed boolean, seq long")
-        return self.spark.read.parquet(self.current)
+        out = self.base.read()
+        for n in self.log.numbers():
+            out = out.unionByName(self.log.read(n))
+        return collapse_events(out)
 
 
 def run_available(stream: DataFrame, state: ChangeState, checkpoint: str) -> DataFrame:
