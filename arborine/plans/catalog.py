@@ -22,9 +22,9 @@ def oracle_sql() -> dict:
 
 
 def ship(spark) -> None:
-    """Add the package to the executors' Python path, once per application; a local session has it already."""
+    """Add the package to the workers' Python path, once per application; workers of a local session need it too."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = Path(importlib.util.find_spec("arborine").origin).parent
     target = Path(tempfile.mkdtemp(prefix="arborine-zip-")) / "arborine.zip"
