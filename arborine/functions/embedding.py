@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 DIM = 384
 
 
-def null_embedding(dim: int = DIM) -> Column:
-    """A vector of zeros."""
-    return F.array_repeat(F.lit(0.0).cast("float"), dim)
+def null_embedder(dim: int = DIM) -> Callable[[Column], Column]:
+    """An embedder to zeros."""
+    return lambda text: F.array_repeat(F.lit(0.0), dim)
 
 
+#: Tokens of a text and words of a token (fixed values).
 _TOKEN = re.compile("[A-Za-z0-9]+")
 _PART = re.compile("[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 

@@ -44,14 +44,23 @@ def docstring_cap(doc: Column, most: int = 500) -> Column:
     return F.when(F.length(doc) > most, F.concat(F.substring(doc, 1, most - 1), F.lit("…"))).otherwise(doc)
 
 
-def source_slice(text: Column, start: Column, end: Column) -> Column:
-    """Lines ``start`` to ``end`` (1-based, both included) joined by line feeds; '' where the range or the text is missing."""
+def text_lines(text: Column) -> Column:
+    """The lines of a text; an end of line at its end starts none."""
     lines = F.split(text, LINE_ENDS)
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
-    ok = text.isNotNull() & (start >= 1) & (end >= start)
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+
+
+def line_slice(lines: Column, start: Column, end: Column) -> Column:
+    """Lines ``start`` to ``end`` (1-based, both included) joined by line feeds; '' where the range or the lines are missing."""
+    ok = lines.isNotNull() & (start >= 1) & (end >= start)
     return F.when(ok, F.array_join(F.slice(lines, F.when(ok, start).otherwise(1).cast("int"), F.when(ok, end - start + 1).otherwise(0).cast("int")), "\n")).otherwise("")
 
 
+def source_slice(text: Column, start: Column, end: Column) -> Column:
+    """``line_slice`` of the lines of a text."""
+    return line_slice(text_lines(text), start, end)
+
+
 def is_test_file(path: Column) -> Column:
     """Whether a path names a test, by the rule of file reports."""
     return F.lower(path).contains("test")

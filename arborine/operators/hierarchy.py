@@ -88,12 +88,13 @@ def _cycle_roots(nodes: DataFrame, circular: DataFrame, scratch: Scratch) -> Dat
     """(m, root_id): the smallest id by bytes on each cycle, by the cycle's least hash ``m``.
 
     ``circular`` has (h, m) of nodes on a cycle or leading into one. Squaring their pointers until
-    the set of targets stays equal leaves exactly the nodes on cycles as targets.
+    the set of targets stays equal leaves exactly the nodes on cycles as targets. A big tree that hangs on one cycle
+    puts its rows on few targets, so the joins are those for heavy keys.
     """
     jump = scratch.save(circular.join(nodes.select("h", F.col("ph").alias("at")), "h").select("h", "at", "m"), "cycle")
-    size = jump.select("at").distinct().count()
+    n_rows, size = jump.count(), jump.select("at").distinct().count()
     while True:
-        twice = jump.select("h", "m", F.col("at").alias("via")).join(jump.select(F.col("h").alias("via"), "at"), "via").select("h", "at", "m")
+        twice = join_skewed(jump.select("h", "m", F.col("at").alias("via")), jump.select(F.col("h").alias("via"), "at"), "via", n_rows, "inner").select("h", "at", "m")
         twice = scratch.save(twice, "cycle")
         scratch.drop(jump)
         jump, before = twice, size
@@ -152,7 +153,7 @@ def hierarchy(rows: DataFrame, every: int = 4) -> DataFrame:
     circular = solved.where(F.col("depth") < 0).select("h", "m")
     if not circular.isEmpty():
         roots = _cycle_roots(nodes, circular, scratch)
-        named = named.unionByName(circular.join(roots, "m").select("h", "root_id", F.lit(-1).cast("long").alias("depth")))
+        named = named.unionByName(join_skewed(circular, roots, "m", circular.count(), "inner").select("h", "root_id", F.lit(-1).cast("long").alias("depth")))
     return nodes.select("kind", F.col("id").alias("node_id"), "h").join(named, "h").select("kind", "node_id", "root_id", "depth")
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborine.functions.text import dotted_suffixes, doc_summary, source_slice
+from arborine.functions.text import doc_summary, dotted_suffixes, line_slice, text_lines
+from arborine.operators.skew import ranked
+from arborine.operators.traverse import reverse_reach
+from arborine.sources.scratch import Scratch
 
 #: Rows of a report: the id as name where the name is absent.
 REF = ("id", "name", "kind", "path", "start_line")
@@ -73,15 +76,9 @@ def file_imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] = (), direction: str = "both", depth: int = 1) -> DataFrame:
     """(seed, id, depth): ids within ``depth`` steps of each seed (id) along edges of ``kinds`` (all if empty)."""
     used = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
-    out = used.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
-    both = {"out": out, "in": out.select(F.col("b").alias("a"), F.col("a").alias("b"))}
-    steps = (both["out"].unionByName(both["in"]) if direction == "both" else both[direction]).distinct()
-    frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at"), F.lit(0).cast("long").alias("depth"))
-    seen = frontier
-    for k in range(1, depth + 1):
-        frontier = frontier.join(steps, frontier["at"] == steps["a"]).select("seed", F.col("b").alias("at")).distinct().join(seen.select("seed", "at"), ["seed", "at"], "left_anti").withColumn("depth", F.lit(k).cast("long"))
-        seen = seen.unionByName(frontier)
-    return seen.where("depth > 0").select("seed", F.col("at").alias("id"), "depth")
+    out = used.select(F.col("dst_id").alias("src"), F.col("src_id").alias("dst"))
+    into = used.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    return reverse_reach({"out": out, "in": into, "both": out.unionByName(into)}[direction], seeds, depth)
 
 
 def all_neighbours(edges: DataFrame) -> DataFrame:
@@ -94,18 +91,28 @@ def all_neighbours(edges: DataFrame) -> DataFrame:
 
 
 def file_outline(nodes: DataFrame) -> DataFrame:
-    """(path, id, kind, name, signature, start_line, end_line, summary): the symbols of each file."""
-    return nodes.where("kind <> 'file'").select("path", "id", "kind", "name", "signature", "start_line", "end_line", F.coalesce(doc_summary(F.col("docstring")), F.lit("")).alias("summary"))
+    """(path, language, id, kind, name, signature, start_line, end_line, summary, place): the symbols of each file.
+
+    ``language`` is that of the file's own row, '' where there is none; ``place`` is the 1-based place by line and id.
+    """
+    files = nodes.where("kind = 'file'").groupBy("path").agg(F.min("language").alias("language"))
+    symbols = nodes.where("kind <> 'file'").select("path", "id", "kind", "name", "signature", "start_line", "end_line", F.coalesce(doc_summary(F.col("docstring")), F.lit("")).alias("summary"))
+    met = symbols.join(files, "path", "left").withColumn("language", F.coalesce("language", F.lit("")))
+    placed = ranked(met, "path", ["start_line", "id"], Scratch(nodes.sparkSession, "outline"))
+    return placed.select("path", "language", "id", "kind", "name", "signature", "start_line", "end_line", "summary", F.col("rank").alias("place"))
 
 
-def read_symbol(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def read_symbol(nodes: DataFrame, texts: DataFrame, newest: str | None = None) -> DataFrame:
     """(id, path, source): the lines of each symbol that is no file, '' where the text is missing.
 
-    ``texts`` has (path, text); of several texts of a path the greatest is taken.
+    ``texts`` has (path, text); of several texts of a path the one with the latest ``newest`` is taken, of equals the greatest; null
+    texts are none. Each text is cut into lines once, before the symbols of its file meet it.
     """
-    one = texts.where(F.col("path").isNotNull()).groupBy("path").agg(F.max("text").alias("text"))
+    order = [F.col(newest).alias("_at")] if newest else []
+    known = texts.where(F.col("path").isNotNull() & F.col("text").isNotNull())
+    one = known.groupBy("path").agg(F.max(F.struct(*order, F.col("text").alias("text"))).alias("t")).select("path", text_lines(F.col("t.text")).alias("lines"))
     cut = nodes.where("kind <> 'file'").select("id", "path", "start_line", "end_line").join(one, "path", "left")
-    return cut.select("id", "path", source_slice(F.col("text"), F.col("start_line"), F.col("end_line")).alias("source"))
+    return cut.select("id", "path", line_slice(F.col("lines"), F.col("start_line"), F.col("end_line")).alias("source"))
 
 
 def overview(nodes: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ def index_stats(runs: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, p50, p95) with linear interpolation, 0 where a group has no value.
+def percentiles(rows: DataFrame, group: str, value: str, digits: int = 6) -> DataFrame:
+    """(group, p50, p95) with linear interpolation, rounded to ``digits``, 0 where a group has no value.
 
     Exact for groups of any size: values are ranked across tasks and only those beside the two places are kept.
     """
@@ -35,13 +35,18 @@ def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
         inside = lambda k: F.max(F.when((F.col("_from") <= k) & (k < F.col("_to")), F.col("_v")))
         return inside(low) + (inside(high) - inside(low)) * F.max(place - low)
 
-    return met.groupBy(group).agg(*(F.round(F.coalesce(at(p), F.lit(0.0)), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95))))
+    return met.groupBy(group).agg(*(F.round(F.coalesce(at(p), F.lit(0.0)), digits).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95))))
 
 
 def token_reduction(rows: DataFrame) -> DataFrame:
-    """(median, mean) of baseline / returned to one decimal, over the rows where both are above 0."""
-    ratio = rows.where("baseline > 0 and returned > 0").select((F.col("baseline") / F.col("returned")).alias("r"))
-    return ratio.agg(F.round(F.coalesce(F.percentile("r", F.lit(0.5)), F.lit(0.0)), 1).alias("median"), F.round(F.coalesce(F.avg("r"), F.lit(0.0)), 1).alias("mean"))
+    """(median, mean) of baseline / returned to one decimal, over the rows where both are above 0; 0 where there are none.
+
+    The ratios are ranked across tasks, so no task holds them all.
+    """
+    ratio = rows.where("baseline > 0 and returned > 0").select(F.lit(0).alias("_all"), (F.col("baseline") / F.col("returned")).alias("r"))
+    middle = percentiles(ratio, "_all", "r", 1).select(F.col("p50").alias("median"))
+    mean = ratio.agg(F.round(F.coalesce(F.avg("r"), F.lit(0.0)), 1).alias("mean"))
+    return mean.join(middle, F.lit(True), "left").select(F.coalesce("median", F.lit(0.0)).alias("median"), "mean")
 
 
 def stride_sample(rows: DataFrame, group: str, order: str, count: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborine.functions.text import clean_import, dotted_suffixes
+from arborine.operators.lookup import file_imports
+from arborine.sources.scratch import Scratch
 
 
 def resolve_imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -62,3 +64,13 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame, imports: DataFrame) -> Dat
 def resolve_inheritance(nodes: DataFrame, edges: DataFrame, imports: DataFrame) -> DataFrame:
     """Bases by bare name, to other classes."""
     return resolve_names(nodes, edges, "inherits", ("class",), imports, True)
+
+
+def resolved(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``edges`` with the links of all three resolvers: imports first, as the others look at the imports between files."""
+    links = resolve_imports(nodes, edges).withColumn("kind", F.lit("imports"))
+    known = scratch.save(edges.unionByName(links).distinct(), "known")
+    imports = scratch.save(file_imports(nodes, known), "imports")
+    bases = resolve_inheritance(nodes, known, imports).select("src_id", "dst_id", F.lit("inherits").alias("kind"))
+    calls = resolve_calls(nodes, known, imports).select("src_id", "dst_id", F.lit("calls").alias("kind"))
+    return known.unionByName(bases).unionByName(calls).distinct()

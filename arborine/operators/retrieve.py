@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -18,6 +18,10 @@ from arborine.operators.skew import ranked
 from arborine.sources.scratch import Scratch
 
 BLOCK = 2048
+#: Queries whose best distances a task of the exact search remembers; 8 bytes each.
+LIMITS = 1_000_000
+#: Vectors on which the cells of an index are fitted, and the greatest number of cells.
+SAMPLE, CELLS = 32_768, 4_096
 EXPANSION_SCORE = 0.25
 
 
@@ -38,16 +42,22 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array(batch.column(0).to_pylist()), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 20, where: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` vectors of least squared distance for every query, ties by id.
 
-    Both sides are (id, vector) with vectors of one length; rows with a null vector are left out. The search is exact: the queries are
+    Both sides are (id, vector) with vectors of one length; rows with a null vector are left out, and with ``where``, a condition on
+    the columns of ``vectors``, all rows that do not satisfy it, before the search. The search is exact: the queries are
     written once and read block by block in every task, so vectors are neither packed nor copied; a block of queries meets a block of
-    vectors as a matrix product and hands on only its best ``k`` of each query, less what an earlier block of the task has beaten.
+    vectors as a matrix product and hands on only its best ``k`` of each query, less what an earlier block of the task has beaten
+    (which is remembered for the first ``LIMITS`` queries; the others hand on a little more). Cost grows with queries times vectors:
+    ``knn_indexed`` is for query sets that grow with the table.
     """
+    if where:
+        vectors = vectors.where(where)
     vectors, queries = (x.where(F.col("vector").isNotNull()).select("id", "vector") for x in (vectors, queries))
     scratch = Scratch(vectors.sparkSession, "knn")
     folder = scratch.save(queries, "queries")._scratch_path
+    kind = to_arrow_type(vectors.schema["id"].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits: dict[int, np.ndarray] = {}
@@ -56,31 +66,153 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 continue
             all_ids, all_v = _matrix(batch)
             for place, qids, q in _query_blocks(folder):
-                limit = limits.setdefault(place, np.full(len(qids), np.inf))
+                limit = limits.get(place)
+                if limit is None:
+                    limit = np.full(len(qids), np.inf)
                 for at in range(0, len(all_ids), BLOCK):
-                    ids, v = all_ids[at : at + BLOCK], all_v[at : at + BLOCK]
-                    d = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
-                    if len(ids) > k:
-                        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-                        limits[place] = limit
-                    qi, vi = np.nonzero(d <= (limit + 1e-8)[:, None])
-                    exact = np.concatenate([((v[vi[i : i + BLOCK]] - q[qi[i : i + BLOCK]]) ** 2).sum(1) for i in range(0, len(qi), BLOCK)] or [np.zeros(0)])
-                    order = np.lexsort((ids[vi], exact.round(9), qi))
-                    qi, vi, exact = qi[order], vi[order], exact[order]
-                    best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[qi[best]].tolist(), kind), pa.array(ids[vi[best]].tolist(), kind), pa.array(exact[best])], ["query_id", "id", "distance"])
+                    best, limit = _nearest(qids, q, all_ids[at : at + BLOCK], all_v[at : at + BLOCK], k, limit, kind)
+                    yield best
+                if place < LIMITS:
+                    limits[place] = limit
 
-    kind = to_arrow_type(vectors.schema["id"].dataType)
+    return _best(vectors.mapInArrow(search, _hit_schema(vectors)), k)
+
+
+def _hit_schema(vectors: DataFrame) -> str:
     name = vectors.schema["id"].dataType.simpleString()
-    part = vectors.mapInArrow(search, f"query_id {name}, id {name}, distance double")
+    return f"query_id {name}, id {name}, distance double"
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
-    return part.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _nearest(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, limit: np.ndarray, kind: pa.DataType) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The best ``k`` of one block for each query that stay within its ``limit``, and the limits that follow."""
+    d = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
+    if len(ids) > k:
+        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+    qi, vi = np.nonzero(d <= (limit + 1e-8)[:, None])
+    exact = np.concatenate([((v[vi[i : i + BLOCK]] - q[qi[i : i + BLOCK]]) ** 2).sum(1) for i in range(0, len(qi), BLOCK)] or [np.zeros(0)])
+    order = np.lexsort((ids[vi], exact.round(9), qi))
+    qi, vi, exact = qi[order], vi[order], exact[order]
+    best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return pa.RecordBatch.from_arrays([pa.array(qids[qi[best]].tolist(), kind), pa.array(ids[vi[best]].tolist(), kind), pa.array(exact[best])], ["query_id", "id", "distance"]), limit
+
+
+def sampled(vectors: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
+    """About ``sample`` vectors by a hash of the id, at most twice as many: the driver holds no more, however large the table."""
+    taken = vectors.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // sample))) == 0).select("vector").limit(2 * sample).toPandas()["vector"]
+    return np.stack(taken.to_list()).astype(np.float64) if len(taken) else np.zeros((0, 1))
+
+
+def fit_cells(points: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Centres of at most ``cells`` cells by k-means on ``points``."""
+    rng = np.random.default_rng(0)
+    centres = points[rng.permutation(len(points))[: min(cells, len(points))]].copy()
+    for _ in range(rounds if len(points) > len(centres) else 0):
+        near = np.concatenate([_distances(points[i : i + BLOCK], centres).argmin(1) for i in range(0, len(points), BLOCK)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, points)
+        held = np.bincount(near, minlength=len(centres))
+        centres[held > 0] = sums[held > 0] / held[held > 0, None]
+    return centres
+
+
+def needed_probes(points: np.ndarray, centres: np.ndarray, k: int, target: float, asked: int = 256) -> int:
+    """Cells that a query must meet so that ``target`` of its ``k`` nearest are in them, measured on the sample.
+
+    A sample's neighbours are farther than those of the whole table, so the number is rather too large.
+    """
+    near = np.concatenate([_distances(points[i : i + BLOCK], centres).argmin(1) for i in range(0, len(points), BLOCK)])
+    q = points[np.random.default_rng(1).permutation(len(points))[:asked]]
+    found = np.argsort(_distances(q, points), axis=1)[:, :k]
+    order = np.argsort(np.argsort(_distances(q, centres), axis=1), axis=1)
+    places = np.take_along_axis(order, near[found], axis=1)
+    return int(np.quantile(places, target, method="higher")) + 1
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+
 
+def _cells(rows: DataFrame, centres: np.ndarray, nearest: int) -> DataFrame:
+    """``rows`` (id, vector), each once for every one of its ``nearest`` cells."""
 
-def symbol_vectors(nodes: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, path, text, vector) of each node; the text is its signature or else its qualified name."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.slice(at, BLOCK)
+                d = _distances(_matrix(part)[1], centres)
+                near = np.argpartition(d, nearest - 1, axis=1)[:, :nearest] if nearest < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
+                rows_at = pa.array(np.repeat(np.arange(len(part)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_at), part.column(1).take(rows_at), pa.array(near.ravel().astype(np.int32))], ["id", "vector", "cell"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, vector {rows.schema['vector'].dataType.simpleString()}, cell int")
+
+
+def knn_indexed(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int | None = None, target: float = 0.95, sample: int = SAMPLE, block: int = 4 * BLOCK) -> DataFrame:
+    """``knn`` through an inverted index: every vector stands in the cell of its nearest centre, and a query meets its nearest cells only.
+
+    The centres (about the root of the number of rows, at most ``CELLS``) are fitted on a bounded sample, every row is
+    indexed. A query meets as many cells as the sample needs for a recall of ``target``: few where vectors lie in clusters, most where
+    they lie anyhow. ``recall`` measures the result against ``knn``. A cell is cut into
+    blocks of about ``block`` rows by a hash of the id, and each block is one unit of work, so a cell that holds a third of the rows is met
+    in many tasks; within a task the queries of a block pass by in batches. A query with no more rows than ``k`` in its cells gets fewer.
+    """
+    vectors, queries = (x.where(F.col("vector").isNotNull()).select("id", "vector") for x in (vectors, queries))
+    scratch = Scratch(vectors.sparkSession, "index")
+    n = vectors.count()
+    kind = to_arrow_type(vectors.schema["id"].dataType)
+    if not n:
+        return _best(vectors.mapInArrow(lambda batches: iter(()), _hit_schema(vectors)), k)
+    points = sampled(vectors, n, sample)
+    if not len(points):
+        return knn(vectors, queries, k)
+    centres = fit_cells(points, cells or max(1, min(CELLS, int(n**0.5))))
+    probes = needed_probes(points, centres, k, target)
+    held = scratch.save(_cells(vectors, centres, 1), "cells")
+    sizes = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    blocks = F.broadcast(scratch.save(sizes, "sizes"))
+    asked = _cells(queries, centres, probes).join(blocks, "cell")
+    left = held.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "id", "vector")
+    right = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", "vector")
+    met = left.unionByName(right).repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            marks = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), len(marks)] if len(marks) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                place, side = tuple(marks[a, :2]), marks[a, 2]
+                rows = pa.RecordBatch.from_arrays([batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a)], ["id", "vector"])
+                if side == 0:
+                    at, parts = place, [*parts, _matrix(rows)] if at == place else [_matrix(rows)]
+                elif at == place:
+                    if len(parts) > 1:
+                        parts = [(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+                    qids, q = _matrix(rows)
+                    for i in range(0, len(qids), BLOCK):
+                        yield _nearest(qids[i : i + BLOCK], q[i : i + BLOCK], *parts[0], k, np.full(len(qids[i : i + BLOCK]), np.inf), kind)[0]
+
+    return _best(met.mapInArrow(search, _hit_schema(vectors)), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query_id, recall): the share of each query's ``exact`` hits that ``found`` has too."""
+    both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("_hit")), ["query_id", "id"], "left")
+    return both.groupBy("query_id").agg(F.round(F.avg(F.coalesce("_hit", F.lit(0))), 6).alias("recall"))
+
+
+def symbol_vectors(nodes: DataFrame, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, path, text, vector) of each node; the text is its signature or else its qualified name.
+
+    ``embedder`` makes a column of vectors of one length from a column of texts; without one, texts are hashed to ``DIM`` numbers.
+    """
     text = F.coalesce(F.nullif("signature", F.lit("")), F.col("qualified_name"))
-    return nodes.select("id", "path", text.alias("text")).withColumn("vector", hashing_embedder(dim)(F.col("text")))
+    return nodes.select("id", "path", text.alias("text")).withColumn("vector", (embedder or hashing_embedder())(F.col("text")))
 
 
 def seed_scores(hits: DataFrame) -> DataFrame:
@@ -111,16 +243,19 @@ def context_files(selected: DataFrame) -> DataFrame:
     return selected.where("path <> ''").groupBy("prompt_id", "path").agg(F.min("rank").alias("rank"))
 
 
-def prune_context(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, prompts: DataFrame, token_budget: int = 8000, top_k: int = 20, dim: int = DIM) -> DataFrame:
+def prune_context(
+    nodes: DataFrame, edges: DataFrame, vectors: DataFrame, prompts: DataFrame, token_budget: int = 8000, top_k: int = 20, embedder: Callable[[Column], Column] | None = None, search: Callable[..., DataFrame] = knn
+) -> DataFrame:
     """(prompt_id, id, name, path, score, cost, total, rank): the context of each prompt (prompt_id, prompt) within a budget of tokens.
 
     A prompt is read whole. A null one, or one without tokens, is as far from every symbol that has tokens, so ids decide.
-    Nearest symbols, their neighbours at a fixed score, ranked by score (seeds first, then by id) and cut by running cost.
+    Nearest symbols, their neighbours at a fixed score, ranked by score (seeds first, then by id) and cut by running cost. ``embedder``
+    must be that of ``vectors``; ``search`` is ``knn`` or, where prompts grow with the graph, ``knn_indexed``.
     """
     scratch = Scratch(nodes.sparkSession, "context")
-    asked = scratch.save(prompts.select(F.col("prompt_id").cast("string").alias("id"), hashing_embedder(dim)(F.col("prompt")).alias("vector")), "prompts")
+    asked = scratch.save(prompts.select(F.col("prompt_id").cast("string").alias("id"), (embedder or hashing_embedder())(F.col("prompt")).alias("vector")), "prompts")
     named = scratch.save(vectors.select("id", "vector"), "vectors")
-    hits = knn(named, asked, top_k).select(F.col("query_id").alias("prompt_id"), "id", "distance")
+    hits = search(named, asked, top_k).select(F.col("query_id").alias("prompt_id"), "id", "distance")
     pool = expand(scratch.save(seed_scores(hits), "seeds"), edges)
     known = nodes.select("id", "name", "path", "signature")
     rows = pool.join(known, "id", "left").select("prompt_id", "id", F.coalesce(F.nullif("name", F.lit("")), "id").alias("name"), F.coalesce("path", F.lit("")).alias("path"), "signature", "score", "is_seed")

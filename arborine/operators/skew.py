@@ -9,13 +9,19 @@ from arborine.sources.scratch import Scratch
 
 #: A key with more than this share of the rows is heavy, so at most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 0.005
-#: Below this many rows no key is worth a path of its own.
+#: Below this many rows heavy keys are not looked for, as such a join fits one task: the rows are the same, only the plan differs.
 HEAVY_ROWS = 200_000
+#: The session setting that overrides ``HEAVY_ROWS``.
+HEAVY_ROWS_SETTING = "spark.arborine.heavyRows"
+SALTS = 64
 
 
 def heavy_values(rows: DataFrame, key: str, n_rows: int, share: float = HEAVY_SHARE) -> list:
-    """Values of ``key`` with more than ``share`` of ``n_rows``: fewer than 1 / share, whatever the input."""
-    if n_rows < HEAVY_ROWS:
+    """Values of ``key`` with more than ``share`` of ``n_rows``: fewer than 1 / share, whatever the input.
+
+    None are looked for below ``HEAVY_ROWS`` rows, or the number that the session sets.
+    """
+    if n_rows < int(rows.sparkSession.conf.get(HEAVY_ROWS_SETTING, str(HEAVY_ROWS))):
         return []
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
     return [r[0] for r in counts.where(F.col("count") > n_rows * share).select(key).collect()]
@@ -39,6 +45,24 @@ def join_skewed(rows: DataFrame, dim: DataFrame, key: str, n_rows: int, how: str
     )
 
 
+def spread(rows: DataFrame, key: str, value: str, heavy: list, salts: int = SALTS) -> DataFrame:
+    """``rows`` with ``_salt``: for keys in ``heavy`` a number that follows from ``value``, else 0."""
+    salt = F.pmod(F.xxhash64(value), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", F.when(F.col(key).isin(heavy), salt).otherwise(F.lit(0)) if heavy else F.lit(0))
+
+
+def meet_spread(rows: DataFrame, many: DataFrame, key: str, heavy: list, salts: int = SALTS) -> DataFrame:
+    """Inner join of ``rows`` with ``many``, a result of ``spread``, where both may repeat a key.
+
+    Rows of heavy keys are copied once per salt, so the partners of a heavy key are met in ``salts`` tasks.
+    """
+    if not heavy:
+        return rows.join(many.drop("_salt"), key)
+    hot = F.col(key).isin(heavy)
+    salted = rows.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(many, [key, "_salt"]).drop("_salt")
+
+
 def ranked(rows: DataFrame, group: str, order: list[str | Column], scratch: Scratch, cost: str | None = None) -> DataFrame:
     """``rows`` with ``rank``, their 1-based place in their group by ``order``, and ``total``, the running sum of ``cost``.
 
@@ -61,7 +85,7 @@ def ranked(rows: DataFrame, group: str, order: list[str | Column], scratch: Scra
     return out.drop("_group", "_at", "_n", "_c", "_range", *([] if cost else ["total"]))
 
 
-def salted_distinct(rows: DataFrame, key: str, value: str, heavy: DataFrame | None, salts: int = 64) -> DataFrame:
+def salted_distinct(rows: DataFrame, key: str, value: str, heavy: DataFrame | None, salts: int = SALTS) -> DataFrame:
     """Distinct ``value`` per ``key`` in two stages, as (key, n).
 
     Rows of heavy keys get a salt out of ``salts``; it follows from the value, so equal values
@@ -91,7 +115,7 @@ def heavy_keys(rows: DataFrame, key: str, share: float, n_rows: int) -> DataFram
     return counts.where(F.col("rows") >= F.lit(n_rows) * F.lit(share))
 
 
-def dependents(edges: DataFrame, share: float | None = None, salts: int = 64) -> DataFrame:
+def dependents(edges: DataFrame, share: float | None = None, salts: int = SALTS) -> DataFrame:
     """Distinct sources of every ``dst_id``, as (dst_id, dependents), without a straggling task.
 
     ``share``: only keys with at least this share of all rows (null keys count as rows).
