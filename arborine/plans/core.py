@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborine.api import CodeGraph
 from arborine.functions import text as T
-from arborine.functions.embedding import native_places, squared_distance
+from arborine.functions.embedding import native_places, null_embedder
 from arborine.functions.languages import EXTENSIONS, IGNORED_DIRS, language_for
 from arborine.operators import lookup as L
 from arborine.operators import metrics as M
@@ -15,6 +16,7 @@ from arborine.operators import retrieve as V
 from arborine.operators import snapshot as S
 from arborine.operators import traverse as X
 from arborine.operators.skew import ranked
+from arborine.operators.vectors import VectorTable
 from arborine.sources.extract import extracted_edges, extracted_symbols, parse_files
 from arborine.sources.scratch import Scratch
 from arborine.sources.tables import table
@@ -85,6 +87,12 @@ def upsert_nodes(spark, d):
     return nodes(spark, d)
 
 
+@_query(f"WITH {_BASE.replace('docstring DESC NULLS LAST,', '')} SELECT id, kind, name, path, signature, '' AS docstring, start_line FROM sym")
+def migrated_symbols(spark, d):
+    """An older table without docstrings, brought to today's columns."""
+    return S.upsert_nodes(S.migrated(table(spark, d, "symbols").drop("docstring"))).select("id", "kind", "name", "path", "signature", "docstring", "start_line")
+
+
 @_query(f"WITH {_BASE} SELECT src_id, dst_id, kind FROM e")
 def upsert_edges(spark, d):
     return edges(spark, d)
@@ -106,16 +114,47 @@ def delete_cascade(spark, d):
     return S.delete_files(nodes(spark, d), edges(spark, d), removed)[1]
 
 
-@_query(f"""
-WITH {_EVENTS},
+_ACTIONS = f"""{_EVENTS},
 runs AS (SELECT path, content_hash, error, row_number() OVER (PARTITION BY path ORDER BY parsed_at DESC NULLS LAST, content_hash DESC NULLS LAST, error DESC NULLS LAST) AS rn,
-         row_number() OVER (PARTITION BY path ORDER BY parsed_at NULLS FIRST, content_hash NULLS FIRST, error NULLS FIRST) AS first FROM parse_results WHERE path IS NOT NULL)
-SELECT ev.path, CASE WHEN ev.removed THEN 'delete' WHEN coalesce(n.error, '') <> '' OR n.content_hash IS NULL THEN 'keep' WHEN n.content_hash = b.content_hash THEN 'skip' ELSE 'replace' END AS action
-FROM events ev LEFT JOIN runs n ON n.path = ev.path AND n.rn = 1 LEFT JOIN runs b ON b.path = ev.path AND b.first = 1""")
-def incremental_snapshot(spark, d):
+         row_number() OVER (PARTITION BY path ORDER BY parsed_at NULLS FIRST, content_hash NULLS FIRST, error NULLS FIRST) AS first FROM parse_results WHERE path IS NOT NULL),
+actions AS (SELECT ev.path, CASE WHEN ev.removed THEN 'delete' WHEN coalesce(n.error, '') <> '' OR n.content_hash IS NULL THEN 'keep' WHEN n.content_hash = b.content_hash THEN 'skip' ELSE 'replace' END AS action
+FROM events ev LEFT JOIN runs n ON n.path = ev.path AND n.rn = 1 LEFT JOIN runs b ON b.path = ev.path AND b.first = 1)"""
+
+
+def _actions(spark, d) -> DataFrame:
     runs = table(spark, d, "parse_results").where("path is not null")
     one = lambda f: runs.groupBy("path").agg(f(F.struct("parsed_at", "content_hash", "error")).alias("r")).select("path", "r.content_hash", "r.error")
-    return S.incremental_snapshot(nodes(spark, d), one(F.min).drop("error"), one(F.max), S.collapse_events(table(spark, d, "file_changes")))
+    return S.update_actions(one(F.min).drop("error"), one(F.max), S.collapse_events(table(spark, d, "file_changes")))
+
+
+@_query(f"WITH {_ACTIONS} SELECT path, action FROM actions")
+def incremental_snapshot(spark, d):
+    return _actions(spark, d)
+
+
+_COLUMNS = "id, kind, name, qualified_name, path, language, signature, docstring, start_line, end_line"
+_FIRST = _BASE[: _BASE.index("),\ne AS") + 2].replace("sym AS", "sym0 AS").replace(" DESC NULLS LAST", " NULLS FIRST").replace("path DESC", "path")
+_UPDATED = f"""{_BASE[: _BASE.index(chr(10) + "e AS")].replace("sym AS", "last AS")}
+{_FIRST.strip().rstrip(",")},
+{_ACTIONS}, gone AS (SELECT id FROM sym0 WHERE path IN (SELECT path FROM actions WHERE action IN ('delete', 'replace'))),
+added AS (SELECT {_COLUMNS} FROM last WHERE path IN (SELECT path FROM actions WHERE action = 'replace')),
+sym AS (SELECT {_COLUMNS} FROM sym0 WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT {_COLUMNS} FROM added),
+e AS (SELECT DISTINCT src_id, dst_id, kind FROM edges WHERE dst_id IS NOT NULL AND src_id IN (SELECT id FROM sym0) AND src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone)
+      UNION SELECT DISTINCT src_id, dst_id, kind FROM edges WHERE dst_id IS NOT NULL AND src_id IN (SELECT id FROM added))"""
+
+
+def _update(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The first recorded graph after the events: files to replace take their latest rows."""
+    symbols, rows = table(spark, d, "symbols"), table(spark, d, "edges")
+    old, new = S.upsert_nodes(symbols, first=True), S.upsert_nodes(symbols)
+    scratch = Scratch(spark, "update")
+    n, e = S.apply_update(scratch.save(old, "old"), S.upsert_edges(rows, old), new, rows, scratch.save(_actions(spark, d), "actions"))
+    return scratch.save(n, "nodes"), scratch.save(e, "edges")
+
+
+@_query(f"WITH {_UPDATED} SELECT {_COLUMNS} FROM sym")
+def incremental_update(spark, d):
+    return _update(spark, d)[0]
 
 
 @_query(f"WITH {_EVENTS} SELECT path, removed, seq FROM events WHERE {_EXT} IN ({', '.join(repr(x) for x in EXTENSIONS)}) AND NOT regexp_matches(path, '(^|/)({'|'.join(x.replace('.', chr(92) + '.') for x in IGNORED_DIRS)})/') AND NOT regexp_matches(path, '(^|/)\\.[^/]+/')")
@@ -142,6 +181,31 @@ def extract_edges(spark, d):
     return extracted_edges(parsed).distinct()
 
 
+def _parsed(spark, d) -> DataFrame:
+    return parse_files(table(spark, d, "documents").where("path is not null").select("path", "text"))
+
+
+@_query("SELECT DISTINCT id, kind, start_line FROM symbols WHERE id IS NOT NULL AND path IN (SELECT path FROM documents WHERE path IS NOT NULL)")
+def extract_known(spark, d):
+    """What extraction finds of the recorded symbols: all of them, with their kind and line."""
+    known = table(spark, d, "symbols").where("id is not null and path is not null").select("id", "kind", "start_line").distinct()
+    return extracted_symbols(_parsed(spark, d)).select("id", "kind", "start_line").distinct().join(known, ["id", "kind", "start_line"], "left_semi")
+
+
+@_query("SELECT DISTINCT id, signature FROM symbols WHERE id IS NOT NULL AND signature <> '' AND path IN (SELECT path FROM documents WHERE path IS NOT NULL AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')")
+def extract_signatures(spark, d):
+    """What extraction finds of the recorded signatures."""
+    known = table(spark, d, "symbols").where("id is not null and path is not null and signature <> ''").select("id", "signature").distinct()
+    return extracted_symbols(_parsed(spark, d)).select("id", "signature").distinct().join(known, ["id", "signature"], "left_semi")
+
+
+@_query("SELECT DISTINCT src_id, dst_id, kind FROM edges WHERE kind IN ('imports', 'inherits') AND NOT contains(dst_id, '/') AND string_split(src_id, '::')[1] IN (SELECT path FROM documents WHERE path IS NOT NULL AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')")
+def extract_references(spark, d):
+    """What extraction finds of the recorded imports and bases by bare name."""
+    known = table(spark, d, "edges").where("kind in ('imports', 'inherits') and not contains(dst_id, '/')").select("src_id", "dst_id", "kind").distinct()
+    return extracted_edges(_parsed(spark, d)).select("src_id", "dst_id", "kind").distinct().join(known, ["src_id", "dst_id", "kind"], "left_semi")
+
+
 # lookups
 
 
@@ -201,18 +265,18 @@ def graph_expand_all(spark, d):
     return L.all_neighbours(edges(spark, d))
 
 
-@_query(rf"""WITH {_BASE} SELECT path, id, kind, name, signature, start_line, end_line,
-coalesce(CASE WHEN length(line) > 120 THEN line[:119] || '…' ELSE line END, '') AS summary
-FROM (SELECT *, trim(regexp_split_to_array(regexp_replace(docstring, '^\s+|\s+$', '', 'g'), '\r\n|[\n\r]')[1]) AS line FROM sym) WHERE kind <> 'file'""")
+@_query(rf"""WITH {_BASE} SELECT path, coalesce((SELECT min(f.language) FROM sym f WHERE f.kind = 'file' AND f.path = o.path), '') AS language, id, kind, name, signature, start_line, end_line,
+coalesce(CASE WHEN length(line) > 120 THEN line[:119] || '…' ELSE line END, '') AS summary, row_number() OVER (PARTITION BY path ORDER BY start_line NULLS FIRST, id) AS place
+FROM (SELECT *, trim(regexp_split_to_array(regexp_replace(docstring, '^\s+|\s+$', '', 'g'), '\r\n|[\n\r]')[1]) AS line FROM sym) o WHERE kind <> 'file'""")
 def file_outline(spark, d):
     return L.file_outline(nodes(spark, d))
 
 
-@_query(rf"""WITH {_BASE}, texts AS (SELECT path, max(text) AS text FROM documents WHERE path IS NOT NULL GROUP BY path),
+@_query(rf"""WITH {_BASE}, texts AS (SELECT path, text FROM (SELECT path, text, row_number() OVER (PARTITION BY path ORDER BY fetched_at DESC NULLS LAST, text DESC) AS rn FROM documents WHERE path IS NOT NULL AND text IS NOT NULL) WHERE rn = 1),
 cut AS (SELECT s.id, s.path, s.start_line AS a, s.end_line AS b, t.text, regexp_split_to_array(t.text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS lines FROM sym s LEFT JOIN texts t ON t.path = s.path WHERE s.kind <> 'file')
 SELECT id, path, CASE WHEN text IS NOT NULL AND a >= 1 AND b >= a THEN array_to_string((CASE WHEN lines[len(lines)] = '' THEN lines[:len(lines) - 1] ELSE lines END)[a:b], chr(10)) ELSE '' END AS source FROM cut""")
 def read_symbol(spark, d):
-    return L.read_symbol(nodes(spark, d), table(spark, d, "documents").select("path", "text"))
+    return L.read_symbol(nodes(spark, d), table(spark, d, "documents").select("path", "text", "fetched_at"), "fetched_at")
 
 
 @_query(f"WITH {_BASE} SELECT count(*) FILTER (WHERE kind = 'file') AS files, count(*) FILTER (WHERE kind <> 'file') AS symbols FROM sym WHERE path <> ''")
@@ -233,31 +297,44 @@ def hub_files(spark, d):
 # resolution
 
 
-@_query(rf"""WITH {_BASE}, files AS (SELECT id, qualified_name AS q FROM sym WHERE kind = 'file' AND qualified_name <> ''),
+_IMPORTS = r"""files AS (SELECT id, qualified_name AS q FROM sym WHERE kind = 'file' AND qualified_name <> ''),
 ends AS (SELECT id, q, array_to_string(parts[i:], '.') AS t FROM (SELECT id, q, string_split(q, '.') AS parts, unnest(range(1, 1 + len(string_split(q, '.')))) AS i FROM files)),
 idx AS (SELECT t, coalesce(max(id) FILTER (WHERE q = t), CASE WHEN count(DISTINCT id) = 1 THEN min(id) END) AS dst FROM ends GROUP BY t),
-wanted AS (SELECT DISTINCT src_id, regexp_replace(dst_id, '^["''`;<>]+|["''`;<>]+$', '', 'g') AS t FROM e WHERE kind = 'imports' AND dst_id NOT IN (SELECT id FROM sym WHERE kind = 'file'))
-SELECT DISTINCT src_id, dst AS dst_id FROM wanted JOIN idx USING (t) WHERE dst IS NOT NULL AND dst <> src_id""")
+wanted AS (SELECT DISTINCT src_id, regexp_replace(dst_id, '^["''`;<>]+|["''`;<>]+$', '', 'g') AS t FROM e WHERE kind = 'imports' AND dst_id NOT IN (SELECT id FROM sym WHERE kind = 'file')),
+links AS (SELECT DISTINCT src_id, dst AS dst_id FROM wanted JOIN idx USING (t) WHERE dst IS NOT NULL AND dst <> src_id)"""
+
+
+@_query(f"WITH {_BASE}, {_IMPORTS} SELECT src_id, dst_id FROM links")
 def resolve_imports(spark, d):
     return R.resolve_imports(nodes(spark, d), edges(spark, d))
 
 
-def _resolution(kind: str, kinds: str, other: str) -> str:
-    return f"""WITH {_BASE},
-asked AS (SELECT DISTINCT e.src_id, e.dst_id AS name, s.path AS src_path FROM e JOIN sym s ON s.id = e.src_id WHERE e.kind = '{kind}' AND NOT contains(e.dst_id, '/') AND s.path <> ''),
-cand AS (SELECT a.src_id, a.name, c.id, CASE WHEN c.path = a.src_path THEN 0 WHEN f.imported IS NOT NULL THEN 1 ELSE 2 END AS tier
-  FROM asked a JOIN sym c ON c.name = a.name AND c.kind IN ({kinds}) AND c.path <> '' {other} LEFT JOIN fimp f ON f.importer = a.src_path AND f.imported = c.path),
-best AS (SELECT *, min(tier) OVER (PARTITION BY src_id, name) AS t FROM cand)
-SELECT src_id, name, min(id) AS dst_id FROM best WHERE tier = t GROUP BY src_id, name HAVING count(DISTINCT id) = 1"""
+def _names(kind: str, kinds: str, other: str, edges: str = "e", tag: str = "") -> str:
+    return f"""asked{tag} AS (SELECT DISTINCT e.src_id, e.dst_id AS name, s.path AS src_path FROM {edges} e JOIN sym s ON s.id = e.src_id WHERE e.kind = '{kind}' AND NOT contains(e.dst_id, '/') AND s.path <> ''),
+cand{tag} AS (SELECT a.src_id, a.name, c.id, CASE WHEN c.path = a.src_path THEN 0 WHEN f.imported IS NOT NULL THEN 1 ELSE 2 END AS tier
+  FROM asked{tag} a JOIN sym c ON c.name = a.name AND c.kind IN ({kinds}) AND c.path <> '' {other} LEFT JOIN fimp f ON f.importer = a.src_path AND f.imported = c.path),
+best{tag} AS (SELECT *, min(tier) OVER (PARTITION BY src_id, name) AS t FROM cand{tag}),
+settled{tag} AS (SELECT src_id, name, min(id) AS dst_id FROM best{tag} WHERE tier = t GROUP BY src_id, name HAVING count(DISTINCT id) = 1)"""
+
+
+_CALLED, _EXTENDED = ("calls", "'function', 'method', 'class'", ""), ("inherits", "'class'", "AND c.id <> a.src_id")
 
 
-@_query(_resolution("calls", "'function', 'method', 'class'", ""))
+@_query(f"""WITH {_UPDATED}, {_IMPORTS}, known AS (SELECT src_id, dst_id, kind FROM e UNION SELECT src_id, dst_id, 'imports' FROM links),
+fimp AS (SELECT DISTINCT e.src_id AS importer, e.dst_id AS imported FROM known e JOIN sym a ON a.id = e.src_id AND a.kind = 'file' JOIN sym b ON b.id = e.dst_id AND b.kind = 'file' WHERE e.kind = 'imports'),
+{_names(*_CALLED, "known", "_c")}, {_names(*_EXTENDED, "known", "_i")}
+SELECT src_id, dst_id, kind FROM known UNION SELECT src_id, dst_id, 'calls' FROM settled_c UNION SELECT src_id, dst_id, 'inherits' FROM settled_i""")
+def incremental_edges(spark, d):
+    return R.resolved(*_update(spark, d), Scratch(spark, "resolution"))
+
+
+@_query(f"WITH {_BASE}, {_names(*_CALLED)} SELECT src_id, name, dst_id FROM settled")
 def resolve_calls(spark, d):
     n, e = nodes(spark, d), edges(spark, d)
     return R.resolve_calls(n, e, L.file_imports(n, e))
 
 
-@_query(_resolution("inherits", "'class'", "AND c.id <> a.src_id"))
+@_query(f"WITH {_BASE}, {_names(*_EXTENDED)} SELECT src_id, name, dst_id FROM settled")
 def resolve_inheritance(spark, d):
     n, e = nodes(spark, d), edges(spark, d)
     return R.resolve_inheritance(n, e, L.file_imports(n, e))
@@ -265,31 +342,40 @@ def resolve_inheritance(spark, d):
 
 # traversal
 
-_HOT = "(SELECT id FROM (SELECT dst_id AS id, count(*) AS n FROM e WHERE kind = 'inherits' AND contains(dst_id, '::') GROUP BY 1) ORDER BY n DESC, id LIMIT 10)"
+_CHANGED = "changed AS (SELECT DISTINCT path FROM file_changes WHERE path IS NOT NULL)"
+_REACH = f"""WITH RECURSIVE {_BASE}, {_CHANGED}, st AS (SELECT DISTINCT src_id AS src, dst_id AS dst FROM e WHERE kind IN ('calls', 'inherits') AND src_id IN (SELECT id FROM sym WHERE path <> '')),
+seeds AS (SELECT id FROM sym WHERE kind <> 'file' AND path IN (SELECT path FROM changed)),
+r AS (SELECT id AS seed, id, 0 AS d FROM seeds UNION SELECT r.seed, st.src, r.d + 1 FROM r JOIN st ON st.dst = r.id WHERE r.d < 4),
+reach AS (SELECT q.seed, q.id, s.path, CAST(q.d AS BIGINT) AS depth, regexp_matches(lower(s.path), 'test|spec') AS is_test FROM (SELECT seed, id, min(d) AS d FROM r WHERE id <> seed GROUP BY seed, id) q JOIN sym s ON s.id = q.id WHERE s.path <> '')"""
+_BLAST = f"""WITH RECURSIVE {_BASE}, {_CHANGED}, st AS (SELECT DISTINCT src_id AS src, dst_id AS dst FROM e WHERE kind = 'imports'),
+r AS (SELECT path AS seed, path AS id, 0 AS d FROM changed UNION SELECT r.seed, st.src, r.d + 1 FROM r JOIN st ON st.dst = r.id WHERE r.d < 3),
+reach AS (SELECT seed, id, CAST(min(d) AS BIGINT) AS depth, contains(lower(id), 'test') AS is_test FROM r WHERE id <> seed GROUP BY seed, id)"""
 
 
-def _hot_classes(e: DataFrame) -> DataFrame:
-    return e.where((F.col("kind") == "inherits") & F.col("dst_id").contains("::")).groupBy(F.col("dst_id").alias("id")).count().orderBy(F.desc("count"), "id").limit(10).select("id")
+def _changed_paths(spark, d) -> DataFrame:
+    return table(spark, d, "file_changes").where("path is not null").select("path").distinct()
 
 
-@_query(f"""WITH RECURSIVE {_BASE}, st AS (SELECT DISTINCT src_id AS src, dst_id AS dst FROM e WHERE kind IN ('calls', 'inherits') AND src_id IN (SELECT id FROM sym WHERE path <> '')), seeds AS {_HOT},
-r AS (SELECT id AS seed, id, 0 AS d FROM seeds UNION SELECT r.seed, st.src, r.d + 1 FROM r JOIN st ON st.dst = r.id WHERE r.d < 4)
-SELECT q.seed, q.id, s.path, CAST(q.d AS BIGINT) AS depth, regexp_matches(lower(s.path), 'test|spec') AS is_test FROM (SELECT seed, id, min(d) AS d FROM r WHERE id <> seed GROUP BY seed, id) q JOIN sym s ON s.id = q.id WHERE s.path <> ''""")
-def symbol_impact(spark, d):
-    e = edges(spark, d)
-    return X.symbol_impact(nodes(spark, d), e, _hot_classes(e))
+def _changed_symbols(spark, d) -> DataFrame:
+    return X.impacted_symbols(nodes(spark, d), _changed_paths(spark, d)).select("id")
 
 
-@_query(f"""WITH RECURSIVE {_BASE}, st AS (SELECT DISTINCT src_id AS src, dst_id AS dst FROM e WHERE kind = 'imports'), seeds AS (SELECT imported AS id FROM fimp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15),
-r AS (SELECT id AS seed, id, 0 AS d FROM seeds UNION SELECT r.seed, st.src, r.d + 1 FROM r JOIN st ON st.dst = r.id WHERE r.d < 3)
-SELECT seed, id, CAST(min(d) AS BIGINT) AS depth, contains(lower(id), 'test') AS is_test FROM r WHERE id <> seed GROUP BY seed, id""")
-def blast_radius(spark, d):
-    n, e = nodes(spark, d), edges(spark, d)
-    return X.blast_radius(e, L.hubs(n, e).select(F.col("path").alias("id")))
+def _symbol_reach(spark, d) -> DataFrame:
+    return X.symbol_impact(nodes(spark, d), edges(spark, d), _changed_symbols(spark, d))
 
 
-def _changed_paths(spark, d) -> DataFrame:
-    return table(spark, d, "file_changes").where("path is not null").select("path").distinct()
+def _file_reach(spark, d) -> DataFrame:
+    return X.blast_radius(edges(spark, d), _changed_paths(spark, d).withColumnRenamed("path", "id"))
+
+
+@_query(f"{_REACH} SELECT seed, id, path, depth, is_test FROM reach")
+def symbol_impact(spark, d):
+    return _symbol_reach(spark, d)
+
+
+@_query(f"{_BLAST} SELECT seed, id, depth, is_test FROM reach")
+def blast_radius(spark, d):
+    return _file_reach(spark, d)
 
 
 @_query(f"WITH {_BASE} SELECT path, id, qualified_name FROM sym WHERE kind <> 'file' AND path IN (SELECT path FROM file_changes)")
@@ -297,15 +383,31 @@ def impacted_symbols(spark, d):
     return X.impacted_symbols(nodes(spark, d), _changed_paths(spark, d))
 
 
-@_query()
+@_query(ORACLE["blast_radius"])
 def changed_files_reach(spark, d):
-    return X.blast_radius(edges(spark, d), _changed_paths(spark, d).withColumnRenamed("path", "id"))
+    return _file_reach(spark, d)
 
 
-@_query()
+@_query(ORACLE["symbol_impact"])
 def changed_symbols_reach(spark, d):
-    n = nodes(spark, d)
-    return X.symbol_impact(n, edges(spark, d), X.impacted_symbols(n, _changed_paths(spark, d)))
+    return _symbol_reach(spark, d)
+
+
+@_query(f"""{_REACH} SELECT s.id AS seed, count(r.id) AS impacted, count(DISTINCT r.path) AS files, count(DISTINCT r.path) FILTER (WHERE r.is_test) AS tests, coalesce(max(r.depth), 0) AS max_depth
+FROM seeds s LEFT JOIN reach r ON r.seed = s.id GROUP BY s.id""")
+def impact_report(spark, d):
+    return X.reach_report(_symbol_reach(spark, d), _changed_symbols(spark, d))
+
+
+@_query(f"{_REACH} SELECT DISTINCT seed, path FROM reach WHERE is_test")
+def affected_tests(spark, d):
+    return X.affected_tests(_symbol_reach(spark, d))
+
+
+@_query(f"""{_BLAST} SELECT c.path AS seed, count(r.id) AS impacted, count(DISTINCT r.id) AS files, count(DISTINCT r.id) FILTER (WHERE r.is_test) AS tests, coalesce(max(r.depth), 0) AS max_depth
+FROM changed c LEFT JOIN reach r ON r.seed = c.path GROUP BY c.path""")
+def blast_report(spark, d):
+    return X.reach_report(_file_reach(spark, d), _changed_paths(spark, d).withColumnRenamed("path", "id"), "id")
 
 
 # scalars
@@ -380,22 +482,69 @@ def hashing_embed(spark, d):
 # retrieval and reports
 
 
-@_query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS dist FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)
-SELECT query_id, id, round(dist, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS rank FROM p) WHERE rank <= 20""")
+_DISTANCE = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
+
+
+def _nearest(where: str = "true") -> str:
+    return f"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_DISTANCE} AS dist FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND {where}),
+hits AS (SELECT query_id, id, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS rank FROM p) WHERE rank <= 20)"""
+
+
+def _embedded(spark, d) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return v, v.where("id % 50 = 0")
+
+
+@_query(f"{_nearest()} SELECT query_id, id, round(dist, 6) AS distance, rank FROM hits")
 def knn_search(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return V.knn(v, v.where("id % 50 = 0")).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    return V.knn(*_embedded(spark, d)).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@_query("""WITH p AS (SELECT v.vec_id AS id, v.label, q.label AS l, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS dist FROM embeddings v JOIN embeddings q ON q.label = v.label AND q.vec_id % 50 = 0)
-SELECT id, round(max(1 / (1 + dist)), 6) AS score FROM p GROUP BY id""")
+@_query(f"{_nearest('v.label % 2 = 1')} SELECT query_id, id, round(dist, 6) AS distance, rank FROM hits")
+def knn_where(spark, d):
+    return V.knn(*_embedded(spark, d), where="label % 2 = 1").select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@_query()
+def knn_indexed(spark, d):
+    return V.knn_indexed(*_embedded(spark, d)).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@_query()
+def knn_recall(spark, d):
+    v, q = _embedded(spark, d)
+    return V.recall(V.knn_indexed(v, q), V.knn(v, q))
+
+
+@_query(f"{_nearest()} SELECT id, round(max(1 / (1 + dist)), 6) AS score FROM hits GROUP BY id")
 def seed_scores(spark, d):
-    v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 50 = 0").select("label", F.col("embedding").alias("e"))
-    hits = v.join(q, "label").select(F.lit(0).alias("prompt_id"), F.col("vec_id").alias("id"), squared_distance(F.col("e"), F.col("embedding")).alias("distance"))
+    hits = V.knn(*_embedded(spark, d)).select(F.lit(0).alias("prompt_id"), "id", "distance")
     return V.seed_scores(hits).select("id", F.round("score", 6).alias("score"))
 
 
+@_query("""WITH v AS (SELECT vec_id::VARCHAR AS id, 'cluster/' || label AS path, 'item ' || vec_id AS text, embedding FROM embeddings), moved AS (SELECT 'new-' || id AS id, path, text, embedding FROM v WHERE path IN ('cluster/1', 'cluster/2'))
+SELECT id, path, text, round(embedding[1]::DOUBLE, 6) AS first, len(embedding) AS dim FROM (SELECT * FROM v WHERE path NOT IN ('cluster/0', 'cluster/1', 'cluster/2') UNION ALL SELECT * FROM moved)""")
+def vector_table(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("cluster/"), F.col("label")).alias("path"), F.concat(F.lit("item "), F.col("vec_id")).alias("text"), F.col("embedding").cast("array<double>").alias("vector"))
+    held = VectorTable(spark, f"{Scratch(spark, 'vectors').path}/table", 64)
+    held.upsert(rows)
+    held.upsert(rows.where("path in ('cluster/1', 'cluster/2')").withColumn("id", F.concat(F.lit("new-"), F.col("id"))))
+    held.delete(rows.where("path = 'cluster/0'").select("path"))
+    return held.read().select("id", "path", "text", F.round(F.element_at("vector", 1), 6).alias("first"), F.size("vector").cast("long").alias("dim"))
+
+
+@_query(f"WITH {_BASE} SELECT id, path, coalesce(nullif(signature, ''), qualified_name) AS text, CAST(384 AS BIGINT) AS dim, CAST(0 AS DOUBLE) AS norm FROM sym")
+def null_vectors(spark, d):
+    v = V.symbol_vectors(nodes(spark, d), null_embedder())
+    return v.select("id", "path", "text", F.size("vector").cast("long").alias("dim"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x).alias("norm"))
+
+
+@_query(f"""WITH {_BASE} SELECT id, path, coalesce(nullif(signature, ''), qualified_name) AS text, CAST(384 AS BIGINT) AS dim, CASE WHEN regexp_matches(coalesce(nullif(signature, ''), qualified_name), '[A-Za-z0-9]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM sym""")
+def symbol_vectors(spark, d):
+    v = V.symbol_vectors(nodes(spark, d))
+    return v.select("id", "path", "text", F.size("vector").cast("long").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
 @_query()
 def prune_context(spark, d):
     n = nodes(spark, d)
@@ -441,3 +590,83 @@ def token_reduction(spark, d):
 SELECT language, id FROM f WHERE n <= 50 OR i IN (SELECT CAST(floor(k * n / 50) AS BIGINT) FROM range(50) r(k))""")
 def stride_sample(spark, d):
     return M.stride_sample(nodes(spark, d).where("kind = 'file'").select("id", "language"), "language", "id", 50).select("language", "id")
+
+
+# the tools of the graph object, each for all names or files at once
+
+
+def _graph(spark, d) -> CodeGraph:
+    texts = table(spark, d, "documents").where("path is not null and text is not null").groupBy("path").agg(F.max(F.struct("fetched_at", "text")).alias("t")).select("path", "t.text")
+    return CodeGraph(spark, table(spark, d, "symbols"), table(spark, d, "edges"), texts)
+
+
+def _called_names(spark, d) -> DataFrame:
+    return table(spark, d, "edges").where("kind = 'calls' and not contains(dst_id, '/')").select("dst_id").distinct()
+
+
+_KEYS = """names AS (SELECT DISTINCT dst_id AS query FROM edges WHERE kind = 'calls' AND NOT contains(dst_id, '/')),
+keys AS (SELECT id, id AS k FROM sym UNION SELECT id, name FROM sym UNION SELECT id, array_to_string(parts[i:], '.') FROM (SELECT id, string_split(qualified_name, '.') AS parts, unnest(range(1, 1 + len(string_split(qualified_name, '.')))) AS i FROM sym WHERE qualified_name <> '')),
+matched AS (SELECT query, id, path AS mpath, start_line AS mline FROM names JOIN keys ON k = query JOIN sym USING (id) WHERE sym.kind <> 'file')"""
+
+
+@_query(f"WITH {_BASE}, {_KEYS} SELECT m.query, e.dst_id, e.src_id, coalesce(nullif(s.name, ''), s.id) AS name, s.path FROM matched m JOIN e ON e.dst_id = m.id AND e.kind = 'calls' JOIN sym s ON s.id = e.src_id WHERE s.path <> ''")
+def tool_callers(spark, d):
+    return _graph(spark, d).get_callers(_called_names(spark, d)).select("query", "dst_id", "src_id", "name", "path")
+
+
+@_query(f"WITH {_BASE}, {_KEYS} SELECT m.query, e.src_id, e.dst_id, coalesce(nullif(s.name, ''), s.id) AS name, s.path FROM matched m JOIN e ON e.src_id = m.id AND e.kind = 'calls' JOIN sym s ON s.id = e.dst_id WHERE s.path <> ''")
+def tool_callees(spark, d):
+    return _graph(spark, d).get_callees(_called_names(spark, d)).select("query", "src_id", "dst_id", "name", "path")
+
+
+@_query(f"""WITH {_BASE}, bases AS (SELECT DISTINCT dst_id AS query FROM edges WHERE kind = 'inherits' AND NOT contains(dst_id, '/')),
+m AS (SELECT DISTINCT b.query, c.id AS class_id FROM bases b JOIN sym c ON c.kind <> 'file' AND (c.name = b.query OR c.id = b.query OR c.qualified_name = b.query OR ends_with(c.qualified_name, '.' || b.query))),
+h AS (SELECT e.src_id AS class_id, s.id, 'supertype' AS direction FROM e JOIN sym c ON c.id = e.src_id AND c.kind = 'class' JOIN sym s ON s.id = e.dst_id WHERE e.kind = 'inherits'
+      UNION ALL SELECT e.dst_id, s.id, 'subtype' FROM e JOIN sym c ON c.id = e.dst_id AND c.kind = 'class' JOIN sym s ON s.id = e.src_id WHERE e.kind = 'inherits')
+SELECT m.query, h.class_id, h.id, h.direction FROM m JOIN h USING (class_id)""")
+def tool_class_hierarchy(spark, d):
+    names = table(spark, d, "edges").where("kind = 'inherits' and not contains(dst_id, '/')").select("dst_id").distinct()
+    return _graph(spark, d).class_hierarchy(names).select("query", "class_id", "id", "direction")
+
+
+@_query(f"""WITH {_BASE}, f AS (SELECT DISTINCT path FROM file_changes WHERE path IS NOT NULL)
+SELECT e.src_id AS path, e.dst_id AS id, 'dependency' AS direction FROM e JOIN sym s ON s.id = e.src_id AND s.kind = 'file' LEFT JOIN sym t ON t.id = e.dst_id AND t.kind = 'file' WHERE e.kind = 'imports' AND t.id IS NULL AND e.src_id IN (SELECT path FROM f)
+UNION ALL SELECT e.dst_id, e.src_id, 'dependent' FROM e JOIN sym s ON s.id = e.dst_id AND s.kind = 'file' WHERE e.kind = 'imports' AND e.dst_id IN (SELECT path FROM f)""")
+def tool_file_dependencies(spark, d):
+    return _graph(spark, d).get_file_dependencies(_changed_paths(spark, d))
+
+
+@_query(ORACLE["file_outline"].replace("o WHERE kind <> 'file'", "o WHERE kind <> 'file' AND path IN (SELECT path FROM file_changes)"))
+def tool_file_outline(spark, d):
+    return _graph(spark, d).file_outline(_changed_paths(spark, d))
+
+
+@_query(rf"""WITH {_BASE}, {_KEYS}, texts AS (SELECT path, text FROM (SELECT path, text, row_number() OVER (PARTITION BY path ORDER BY fetched_at DESC NULLS LAST, text DESC) AS rn FROM documents WHERE path IS NOT NULL AND text IS NOT NULL) WHERE rn = 1),
+top AS (SELECT query, id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mpath, mline NULLS FIRST, id) AS rn FROM (SELECT DISTINCT * FROM matched)) WHERE rn <= 5),
+cut AS (SELECT p.query, s.id, s.path, s.start_line AS a, s.end_line AS b, t.text, regexp_split_to_array(t.text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS lines FROM top p JOIN sym s USING (id) LEFT JOIN texts t ON t.path = s.path)
+SELECT query, id, path, CASE WHEN text IS NOT NULL AND a >= 1 AND b >= a THEN array_to_string((CASE WHEN lines[len(lines)] = '' THEN lines[:len(lines) - 1] ELSE lines END)[a:b], chr(10)) ELSE '' END AS source FROM cut""")
+def tool_read_symbol(spark, d):
+    return _graph(spark, d).read_symbol(_called_names(spark, d))
+
+
+@_query(f"WITH {_BASE} SELECT 'files' AS what, count(*) AS n FROM sym WHERE kind = 'file' AND path <> '' UNION ALL SELECT 'symbols', count(*) FROM sym WHERE kind <> 'file' AND path <> '' UNION ALL SELECT language, count(*) FROM sym WHERE kind = 'file' AND language <> '' GROUP BY 1 UNION ALL (SELECT imported, count(*) AS n FROM fimp GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15)")
+def tool_repo_overview(spark, d):
+    counts, languages, hubs = _graph(spark, d).repo_overview()
+    long = counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in ("files", "symbols")))).alias("r")).select("r.*")
+    return long.unionByName(languages.toDF("what", "n")).unionByName(hubs.toDF("what", "n"))
+
+
+@_query(ORACLE["blast_radius"])
+def tool_blast_radius(spark, d):
+    return _graph(spark, d).analyze_blast_radius(_changed_paths(spark, d))
+
+
+@_query(ORACLE["symbol_impact"])
+def tool_symbol_impact(spark, d):
+    return _graph(spark, d).analyze_symbol_impact(_changed_symbols(spark, d))
+
+
+@_query()
+def tool_search(spark, d):
+    prompts = table(spark, d, "documents").where("doc_id % 50 = 0 and text is not null").select("text").distinct()
+    return _graph(spark, d).search_architecture_graph(prompts).select(F.md5("prompt_id").alias("prompt"), "id", "score", "rank")

@@ -58,11 +58,13 @@ links AS (
     FROM edges WHERE kind IN ('defines', 'inherits') AND contains(dst_id, '/') AND src_id IS NOT NULL)
   GROUP BY kind, child),
 up AS (
-  SELECT kind, child AS node, parent AS anc, 1 AS d FROM links
+  SELECT kind, child AS node, parent AS anc FROM links
   UNION
-  SELECT up.kind, up.node, links.parent, up.d + 1 FROM up JOIN links ON links.kind = up.kind AND links.child = up.anc WHERE up.d < 400 AND up.anc <> up.node),
+  SELECT up.kind, up.node, links.parent FROM up JOIN links ON links.kind = up.kind AND links.child = up.anc),
 onring AS (SELECT DISTINCT kind, node FROM up WHERE node = anc),
-tops AS (SELECT DISTINCT kind, parent AS id FROM links EXCEPT SELECT kind, child FROM links)
+tops AS (SELECT DISTINCT kind, parent AS id FROM links EXCEPT SELECT kind, child FROM links),
+deep AS (SELECT kind, node, count(*) AS d FROM up GROUP BY kind, node),
+ends AS (SELECT up.kind, up.node, up.anc AS root, deep.d FROM up JOIN tops t ON t.kind = up.kind AND t.id = up.anc JOIN deep ON deep.kind = up.kind AND deep.node = up.node)
 """
 _ORPHANS = """
 good AS (SELECT id, min(path) AS path, min(indexed_at) AS born FROM symbols WHERE id IS NOT NULL AND path IS NOT NULL GROUP BY id),
@@ -82,22 +84,21 @@ WITH RECURSIVE {_LINKS},
 rings AS (SELECT up.kind, up.node, min(up.anc) AS root FROM up JOIN onring r ON r.kind = up.kind AND r.node = up.anc GROUP BY up.kind, up.node)
 SELECT kind, id AS node_id, id AS root_id, CAST(0 AS BIGINT) AS depth FROM tops
 UNION ALL
-SELECT up.kind, up.node, up.anc, CAST(up.d AS BIGINT) FROM up JOIN tops t ON t.kind = up.kind AND t.id = up.anc
+SELECT kind, node, root, CAST(d AS BIGINT) FROM ends
 UNION ALL
 SELECT kind, node, root, CAST(-1 AS BIGINT) FROM rings
 """,
     "p1_ancestors": f"""
-WITH RECURSIVE {_LINKS},
-ends AS (SELECT up.kind, up.node FROM up JOIN tops t ON t.kind = up.kind AND t.id = up.anc)
-SELECT up.kind, up.anc AS ancestor_id, up.node AS node_id, CAST(up.d AS BIGINT) AS distance FROM up SEMI JOIN ends e ON e.kind = up.kind AND e.node = up.node
+WITH RECURSIVE {_LINKS}
+SELECT up.kind, up.anc AS ancestor_id, up.node AS node_id, CAST(e.d - coalesce(a.d, 0) AS BIGINT) AS distance
+FROM up JOIN ends e ON e.kind = up.kind AND e.node = up.node LEFT JOIN deep a ON a.kind = up.kind AND a.node = up.anc
 """,
     "p1_paths": f"""
-WITH RECURSIVE {_LINKS},
-ends AS (SELECT up.kind, up.node, up.d FROM up JOIN tops t ON t.kind = up.kind AND t.id = up.anc)
+WITH RECURSIVE {_LINKS}
 SELECT kind, id AS node_id, CAST(0 AS BIGINT) AS depth, id AS path FROM tops
 UNION ALL
-SELECT up.kind, up.node, CAST(max(e.d) AS BIGINT), string_agg(up.anc, ' > ' ORDER BY up.d DESC) || ' > ' || up.node
-FROM up JOIN ends e ON e.kind = up.kind AND e.node = up.node GROUP BY up.kind, up.node
+SELECT up.kind, up.node, CAST(max(e.d) AS BIGINT), string_agg(up.anc, ' > ' ORDER BY coalesce(a.d, 0)) || ' > ' || up.node
+FROM up JOIN ends e ON e.kind = up.kind AND e.node = up.node LEFT JOIN deep a ON a.kind = up.kind AND a.node = up.anc GROUP BY up.kind, up.node
 UNION ALL
 SELECT l.kind, l.child, CAST(-1 AS BIGINT), NULL FROM links l ANTI JOIN ends e ON e.kind = l.kind AND e.node = l.child
 """,

@@ -100,7 +100,7 @@ def test_extraction_of_other_languages():
     assert symbols == {("class", "S.Svc"), ("method", "S.Svc.run")} and {("inherits", "Svc", "Base"), ("inherits", "Svc", "I"), ("calls", "run", "doThing"), ("calls", "run", "Helper")} <= edges
     assert parse_text("x.lua", "function f() end")[1][0][1] == "file" and parse_text("x.bin", "")[3] == "unsupported file type"
     language, symbols, edges, error = parse_text("bad.py", "def f(:")
-    assert error.startswith("parse error") and len(symbols) == 1 and not edges
+    assert error.startswith("parse error") and [s[1] for s in symbols] == ["file", "function"] and [e[2] for e in edges] == ["defines"]
     assert parse_text("n.py", None)[3] is None
 
 
@@ -195,6 +195,85 @@ def test_stream_of_changes(spark, tmp_path):
     got = run_available(change_stream(spark, str(folder)), state, str(tmp_path / "progress"))
     assert {tuple(r) for r in got.collect()} == {("a.py", True, 9), ("b.py", True, 4)}
     assert ChangeState(spark, str(tmp_path / "none")).table().count() == 0
+    # a restarted session finds the state, goes on from it, and a replayed batch changes nothing
+    spark.createDataFrame([("d.go", False, 11, None), ("b.py", False, 1, None)], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    again = ChangeState(spark, str(tmp_path / "state"), every=2)
+    want = {("a.py", True, 9), ("b.py", True, 4), ("d.go", False, 11)}
+    assert {tuple(r) for r in run_available(change_stream(spark, str(folder)), again, str(tmp_path / "progress")).collect()} == want
+    again.merge(spark.createDataFrame([("a.py", False, 3), ("d.go", False, 11)], "path string, removed boolean, seq long"), 2)
+    assert {tuple(r) for r in ChangeState(spark, str(tmp_path / "state")).table().collect()} == want and len(again.log.numbers()) < 2
+
+
+def test_update_of_a_graph(spark):
+    texts = lambda **files: spark.createDataFrame([(f"{k}.py", v) for k, v in files.items()], "path string, text string")
+    events = lambda *rows: spark.createDataFrame(rows, "path string, removed boolean, seq long")
+    g = graph(spark, m="def alpha():\n    pass\n", use="import m\n\n\ndef go():\n    alpha()\n    beta()\n", same="def keep():\n    pass\n")
+    assert ("use.py::use.go", "m.py::m.alpha", "calls") in {tuple(r) for r in g.edges.collect()}
+    now = texts(m="def beta():\n    pass\n", use="import m\n\n\ndef go():\n    alpha()\n    beta()\n", same="def keep():\n    pass\n")
+    h = g.updated(now, events(("m.py", True, 1), ("m.py", False, 2), ("same.py", False, 3)))
+    names = {r.name for r in h.nodes.where("kind <> 'file'").collect()}
+    assert names == {"beta", "go", "keep"}
+    calls = {(r.src_id, r.dst_id) for r in h.edges.where("kind = 'calls'").collect()}
+    assert ("use.py::use.go", "m.py::m.beta") in calls and ("use.py::use.go", "m.py::m.alpha") not in calls
+    broken = h.updated(texts(m="def beta(:\n"), events(("m.py", False, 4)))
+    assert {r.name for r in broken.nodes.where("kind <> 'file'").collect()} == names
+    gone = broken.updated(texts(), events(("m.py", True, 5), ("use.py", True, 6), ("same.py", True, 7), (None, True, 8)))
+    assert gone.nodes.count() == 0 and gone.edges.count() == 0 and gone.hashes.count() == 0
+
+
+def test_older_table_is_migrated(spark):
+    old = spark.createDataFrame([("a.py::f", "function", "f", "a.f", "a.py", "python", "f()", 1)], "id string, kind string, name string, qualified_name string, path string, language string, signature string, indexed_at int")
+    row = S.upsert_nodes(S.migrated(old)).first()
+    assert row.docstring == "" and row.start_line is None and row.signature == "f()"
+
+
+def test_vector_table(spark, tmp_path):
+    from arborine.operators.vectors import VectorTable
+
+    rows = lambda *r: spark.createDataFrame(r, "id string, path string, text string, vector array<double>")
+    held = VectorTable(spark, str(tmp_path / "v"), 2)
+    query = spark.createDataFrame([("q", [0.0, 0.0])], "id string, vector array<double>")
+    assert held.read().count() == 0 and held.search(query).count() == 0
+    held.upsert(rows(("a", "x", "t", [0.0, 1.0]), ("b", "x", "t", [0.0, 2.0]), ("c", "it's", "t", [0.0, 3.0]), (None, "x", "t", [0.0, 0.0]), ("d", None, "t", [0.0, 0.0])))
+    held.upsert(rows(("e", "x", "t", [0.0, 5.0]), ("e", "x", "u", [0.0, 4.0])))
+    assert {(r.id, tuple(r.vector)) for r in held.read().collect()} == {("c", (0.0, 3.0)), ("e", (0.0, 4.0))}
+    assert [r.id for r in held.search(query, 1).collect()] == ["c"] and [r.id for r in held.search(query, 1, "path = 'x'").collect()] == ["e"]
+    held.delete(spark.createDataFrame([("it's",)], "path string"))
+    assert column(VectorTable(spark, str(tmp_path / "v"), 2).read(), "id") == {"e"}
+    with pytest.raises(Exception, match="has not 2 numbers"):
+        held.upsert(rows(("z", "z", "t", [1.0])))
+
+
+def test_indexed_search(spark):
+    rng = random.Random(11)
+    centres = [[rng.gauss(0, 4) for _ in range(8)] for _ in range(6)]
+    rows = [(i, [x + rng.gauss(0, 1) for x in centres[0 if i % 3 else rng.randrange(6)]]) for i in range(1500)] + [(1500, None)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = vectors.where("id % 50 = 0")
+    exact = V.knn(vectors, queries, 5)
+    found = V.knn_indexed(vectors, queries, 5, block=64)
+    assert V.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.9 and found.where("rank > 5").isEmpty()
+    assert V.knn_indexed(vectors.limit(0), queries, 5).count() == 0
+    few = V.knn_indexed(vectors.where("id < 3"), vectors.where("id < 3"), 5, target=1.0)
+    assert sorted(map(tuple, few.select("query_id", "id", "rank").collect())) == sorted(map(tuple, V.knn(vectors.where("id < 3"), vectors.where("id < 3"), 5).select("query_id", "id", "rank").collect()))
+
+
+def test_other_embedders(spark):
+    from arborine.functions.embedding import null_embedder
+
+    g = graph(spark, zoo=ZOO)
+    lengths = lambda text: F.array(F.length(text).cast("double"), F.lit(1.0))
+    assert {len(r.vector) for r in V.symbol_vectors(g.nodes, null_embedder(3)).collect()} == {3}
+    prompts = spark.createDataFrame([("p", "main()")], "prompt_id string, prompt string")
+    got = V.prune_context(g.nodes, g.edges, V.symbol_vectors(g.nodes, lengths), prompts, top_k=1, embedder=lengths, search=V.knn_indexed)
+    assert "main" in {r.name for r in got.where("rank = 1").collect()} or got.count() > 0
+
+
+def test_python_that_does_not_parse():
+    text = '"""\ndef not_this(): pass\n"""\nimport os\nfrom .a import b\nclass A(B, k.C):\n    def f(self, x=(1,\n            2)):\n        return (\n\ndef g(y):\n    return 1\n'
+    language, symbols, edges, error = parse_text("m.py", text)
+    assert error and [(s[1], s[3], s[4], s[6]) for s in symbols[1:]] == [("class", "m.A", "", 6), ("method", "m.A.f", "f(self, x=(1,\n            2))", 7), ("function", "m.g", "g(y)", 11)]
+    assert {("m.py", "os", "imports"), ("m.py", ".a", "imports"), ("m.py::m.A", "B", "inherits"), ("m.py::m.A", "C", "inherits")} <= set(edges)
 
 
 def test_search_and_context(spark):
@@ -211,6 +290,7 @@ def test_search_and_context(spark):
     context = g.prune_context("dog bark", token_budget=12, top_k=3).orderBy("rank").collect()
     assert "bark" in {r.name for r in context} and context[-1].total <= 12
     assert g.prune_context("dog bark", token_budget=0).count() == 1
+    assert {(r.path, r.name) for r in [*g.nodes.join(g.analyze_impacted_symbols("zoo.py").select("id"), "id").collect()]} == {("zoo.py", n) for n in ("Animal", "speak", "Dog", "bark", "noise", "woof", "main")}
     assert g.search_architecture_graph("woof").count() > 3
 
 
@@ -267,6 +347,14 @@ def test_prune_context_reads_prompts_whole(spark, tmp_path):
     assert ranks.keys() == {"0", "50", "100", "150", "200", "250"} and all(x == list(range(1, len(x) + 1)) for x in ranks.values())
 
 
+def test_read_symbol_takes_the_newest_text(spark):
+    from arborine.operators.lookup import read_symbol
+
+    nodes = spark.createDataFrame([("a", "function", "p", 2, 2), ("b", "function", "none", 1, 1), ("f", "file", "p", 1, 2)], "id string, kind string, path string, start_line long, end_line long")
+    texts = spark.createDataFrame([("p", "z\nold", 1), ("p", "a\nnew", 2), ("p", None, 3), (None, "x", 1)], "path string, text string, at int")
+    assert {tuple(r) for r in read_symbol(nodes, texts, "at").collect()} == {("a", "p", "new"), ("b", "none", "")}
+
+
 def test_changed_paths_seed_the_reach(spark, tmp_path):
     from arborine.plans.core import QUERIES
 

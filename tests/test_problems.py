@@ -74,7 +74,7 @@ def test_links_ancestors_and_paths(spark):
 
 
 def test_skewed_paths_agree(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HEAVY_ROWS", 0)
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 0)  # heavy keys are looked for in any table
     monkeypatch.setattr(skew, "HEAVY_SHARE", 0.2)
     rows = spark.createDataFrame([("hot" if i % 2 else f"k{i}", i) for i in range(50)] + [(None, -1)], "k string, v int")
     dim = spark.createDataFrame([("hot", 1), ("k2", 2), ("zz", 3)], "k string, w int")
@@ -122,3 +122,19 @@ def test_refreshed_hubs(spark):
     hubs = spark.createDataFrame([("x.py", 9), ("x.py", None), ("gone.py", None), (None, 3)], "path string, dependents long")
     symbols = spark.createDataFrame([("x.py", "x.py", "file", T0, "", "")], SYMBOLS)
     assert as_set(refreshed_hubs(edges, hubs, symbols)) == {("x.py", 2, 9, True), ("gone.py", 0, -1, False)}
+
+
+def test_a_big_tree_on_one_cycle(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 0)
+    ring = [("defines", f"r{(i + 1) % 3}", f"r{i}") for i in range(3)]
+    tree = [("defines", f"n{i}", f"n{(i - 1) // 2}" if i else "r0") for i in range(300)] + [("defines", f"leaf{i}", "n0") for i in range(300)]
+    rows = spark.createDataFrame(ring + tree, "kind string, child string, parent string")
+    got = hierarchy(rows).collect()
+    assert len(got) == 603 and {(r.root_id, r.depth) for r in got} == {("r0", -1)}
+
+
+def test_both_sides_of_a_join_repeat_a_heavy_key(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9), (None, 1)], "k string, x int")
+    many = spark.createDataFrame([("a", f"v{i}") for i in range(200)] + [("b", "w"), (None, "z")], "k string, v string")
+    got = skew.meet_spread(rows, skew.spread(many, "k", "v", ["a"]), "k", ["a"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(many, "k").collect())) and got.count() == 1001
