@@ -1,14 +1,17 @@
 """Minimum-cost repair of token strings, constituent by constituent.
 
 A text is first turned into one sign per token. Its brackets are then reduced from the inside: the
-content of each innermost pair is one constituent, a flat string that is parsed
+content of each pair is one constituent, a flat string that is parsed
 against every nonterminal the pair may stand for, and the pair is replaced by one sign that names the
-set of nonterminals found at cost 0. That is a bottom-up chart whose cells are the bracketed
+set of nonterminals found at the least cost. That is a bottom-up chart whose cells are the bracketed
 spans; equal strings share a cell, within a text and across the texts of a worker. Without their
 brackets the right-hand sides are regular, so each is given as a pattern and compiled to
 a position automaton. A string that no nonterminal derives is repaired: the same automaton runs at 0, 1,
-2, ... edits side by side (insert, delete or change a token) up to ``MOST`` edits, where the cost
-is cut off. Brackets that remain are paired at least cost by an interval chart.
+2, ... edits side by side (insert, delete or change a token) up to ``MOST`` edits, where the cost of that constituent
+is cut off and the result says so. Brackets without a partner are paired at least cost.
+
+The sum is the least under the pairing of brackets that one pass from left to right makes; a group in the place of another
+nonterminal, or too many, counts as one edit.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ CACHED = 200_000
 PAREN, SQUARE, BRACE = 0xE000, 0xE100, 0xE200
 OPEN, CLOSE = "([{", ")]}"
 BROKEN = {"(": chr(PAREN), "[": chr(SQUARE), "{": chr(BRACE)}
-_PAIR = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
+_BRACKET = re.compile(r"[()\[\]{}]")
+#: The bits of nonterminals that ``<p>``, ``<s>`` and ``<b>`` stand for; the others have to be named.
+PLAIN = 63
 
 
 class Automaton:
@@ -37,6 +42,7 @@ class Automaton:
         self.final = last | (1 if nullable else 0)
         self._moves: dict[tuple[int, str], int] = {}
         self._masks: dict[str, int] = {}
+        self._afters: dict[int, int] = {}
 
     def _leaf(self, test) -> tuple[bool, int, int]:
         self.signs.append(test)
@@ -76,8 +82,9 @@ class Automaton:
             return self._leaf(lambda c: True)
         if op is K.IN:
             negate = bool(arg) and arg[0][0] is K.NEGATE
-            spans = [(v, v) if o is K.LITERAL else v for o, v in arg if o is not K.NEGATE]
-            return self._leaf(lambda c, s=tuple(spans), g=negate: any(a <= ord(c) <= b for a, b in s) != g)
+            single = frozenset(v for o, v in arg if o is K.LITERAL)
+            spans = tuple(v for o, v in arg if o is K.RANGE)
+            return self._leaf(lambda c, one=single, s=spans, g=negate: (ord(c) in one or any(a <= ord(c) <= b for a, b in s)) != g)
         if op is K.SUBPATTERN:
             return self._build(arg[3])
         if op is K.BRANCH:
@@ -116,12 +123,16 @@ class Automaton:
         raise ValueError(f"unsupported in a grammar: {op}")
 
     def _after(self, states: int) -> int:
-        out, i = 0, 0
-        while states:
-            low = states & -states
-            i = low.bit_length() - 1
-            out |= self.follow[i]
-            states ^= low
+        out = self._afters.get(states)
+        if out is None:
+            if len(self._afters) > CACHED:
+                self._afters.clear()
+            out, left = 0, states
+            while left:
+                low = left & -left
+                out |= self.follow[low.bit_length() - 1]
+                left ^= low
+            self._afters[states] = out
         return out
 
     def _mask(self, c: str) -> int:
@@ -163,40 +174,63 @@ class Automaton:
         return next((k for k in range(most + 1) if row[k] & self.final), most + 1), at
 
 
-def pairing_cost(signs: str, most: int) -> int:
-    """Least bracket edits that balance ``signs``, by an interval chart; ``most`` + 1 if more, or if the rest is longer than an interval chart bears."""
-    signs = _stripped(signs)
-    n = len(signs)
-    if n > 2 * most + 40:
-        return most + 1
-    best = [[0] * (n + 1) for _ in range(n + 1)]
-    for width in range(1, n + 1):
-        for i in range(n - width + 1):
-            j = i + width
-            cost = 1 + best[i + 1][j]
-            for k in range(i + 1, j):
-                a, b = signs[i], signs[k]
-                if a in OPEN or b in CLOSE:
-                    pair = 0 if a in OPEN and b == CLOSE[OPEN.index(a)] else 1
-                    cost = min(cost, pair + best[i + 1][k] + best[k + 1][j])
-            best[i][j] = cost
-    return min(best[0][n], most + 1)
+def pairing_cost(signs: str, most: int = MOST) -> int:
+    """Least bracket edits (insert, delete or change one) that balance ``signs``; ``most`` + 1 if more are needed.
+
+    A pass over the brackets stops at the first that does not fit and tries every edit there, so it takes a bounded number of passes.
+    """
+    known: dict[tuple[str, int], int] = {}
+
+    def least(s: str, left: int) -> int:
+        s = _stripped(s)
+        closers = 0
+        depth = 0
+        for c in s:
+            if c in OPEN:
+                depth += 1
+            elif depth:
+                depth -= 1
+            else:
+                closers += 1
+        bound = (closers + 1) // 2 + (depth + 1) // 2
+        if bound > left or not s:
+            return bound
+        if (s, left) in known:
+            return known[s, left]
+        at = next((i for i, c in enumerate(s) if c in CLOSE), len(s))
+        if at == len(s) or all(c in CLOSE for c in s):
+            return (len(s) + 1) // 2
+        tries = [s[:at] + s[at + 1 :], *(s[:at] + c + s[at + 1 :] for c in OPEN)]
+        if at:
+            tries += [s[: at - 1] + s[at + 1 :], s[: at - 1] + s[at:]]
+        if at > 1:
+            tries.append(s[: at - 2] + s[at:])
+        best = left + 1
+        for t in tries:
+            best = min(best, 1 + least(t, min(left, best - 1) - 1))
+        known[s, left] = best
+        return best
+
+    return min(least(signs, most), most + 1)
 
 
 def _stripped(signs: str) -> str:
-    while True:
-        less = signs.replace("()", "").replace("[]", "").replace("{}", "")
-        if less == signs:
-            return signs
-        signs = less
+    """``signs`` without the pairs that fit, in one pass."""
+    kept: list[str] = []
+    for c in signs:
+        if kept and c in CLOSE and kept[-1] == OPEN[CLOSE.index(c)]:
+            kept.pop()
+        else:
+            kept.append(c)
+    return "".join(kept)
 
 
 class Grammar:
     """Nonterminals of the three kinds of brackets and of the whole text.
 
     ``rules`` maps "(", "[", "{" to lists of (bit, pattern) and "top" to a pattern. In
-    patterns a capturing group ``(X(?=S))`` is one or more X with S between, and ``<xN>`` with x of p, s, b stands for a round, square or curly group that can be nonterminal N (a bit), ``<x>`` for
-    any such group that was parsed; ``end`` is a sign put behind the content of curly brackets and
+    patterns a capturing group ``(X(?=S))`` is one or more X with S between, and ``<xN>`` with x of p, s, b stands for a round, square or curly group that can be nonterminal N (a bit below 256), ``<x>`` for
+    any such group that can be one of the ``PLAIN`` nonterminals; ``end`` is a sign put behind the content of curly brackets and
     the whole text.
     """
 
@@ -205,7 +239,7 @@ class Grammar:
             def sub(m: re.Match) -> str:
                 base = {"p": PAREN, "s": SQUARE, "b": BRACE}[m[1]]
                 bit = int(m[2] or 0)
-                return "[" + "".join(chr(base + k) for k in range(1, 64) if not bit or k & bit) + "]"
+                return "[" + "".join(chr(base + k) for k in range(1, 256) if k & (bit or PLAIN)) + "]"
 
             return re.sub(r"<([psb])(\d*)>", sub, p)
 
@@ -226,36 +260,54 @@ class Grammar:
                 inner += self.end
             mask = sum(bit for bit, a in rules if a.accepts(inner))
             base = ord(BROKEN[kind])
-            if OPEN.index(kind) != CLOSE.index(span[-1]):
-                cost += 1
             if not mask:
-                cost += min(a.repair(inner)[0] for _, a in rules)
-                mask = 63
+                tries = [(a.repair(inner)[0], bit) for bit, a in rules]
+                cost = min(c for c, _ in tries)
+                mask = sum(bit for c, bit in tries if c == cost)
             got = self._cells[span] = chr(base + mask), cost
         return got
 
-    def reduce(self, signs: str) -> tuple[str, int]:
-        """``signs`` with every paired bracket replaced by its group's sign, and the cost of all groups.
+    def reduce(self, signs: str) -> tuple[str, int, bool, bool]:
+        """``signs`` with every pair of brackets replaced by its group's sign, the cost of all groups, whether it is exact and whether brackets stay open at the end.
 
-        A span closed by a wrong bracket is left to the pairing chart.
+        One pass with a stack. A closing bracket that does not fit closes the nearest that does, if there is one; brackets without a
+        partner are left out and cost what ``pairing_cost`` says.
         """
-        cost = 0
-
-        def sub(m: re.Match) -> str:
-            nonlocal cost
-            span = m[0]
-            if OPEN.index(span[0]) != CLOSE.index(span[-1]):
-                return span
-            sign, c = self.cell(span)
-            cost += c
-            return sign
-
-        while True:
-            less = _PAIR.sub(sub, signs)
-            if less == signs:
-                break
-            signs = less
-        if any(c in signs for c in "()[]{}"):
-            cost += pairing_cost("".join(c for c in signs if c in "()[]{}"), MOST)
-            signs = re.sub(r"[()\[\]{}]", "", signs)
-        return signs, cost
+        cost, exact, loose = 0, True, False
+        out: list[str] = []
+        stack: list[tuple[str, list[str]]] = []
+        pos = 0
+        for m in _BRACKET.finditer(signs):
+            at, c = m.start(), m[0]
+            if at > pos:
+                out.append(signs[pos:at])
+            pos = at + 1
+            if c in OPEN:
+                stack.append((c, out))
+                out = []
+                continue
+            opener = OPEN[CLOSE.index(c)]
+            if not stack or stack[-1][0] != opener:
+                loose = True
+                if not any(o == opener for o, _ in stack[-8:]):
+                    continue
+                while stack[-1][0] != opener:
+                    _, before = stack.pop()
+                    before += out
+                    out = before
+            _, before = stack.pop()
+            sign, extra = self.cell(f"{opener}{''.join(out)}{c}")
+            cost += extra
+            exact &= extra <= MOST
+            before.append(sign)
+            out = before
+        out.append(signs[pos:])
+        still_open = bool(stack) and not loose
+        if stack:
+            loose = True
+            out = [piece for _, before in stack for piece in before] + out
+        if loose:
+            extra = pairing_cost("".join(_BRACKET.findall(signs)))
+            cost += extra
+            exact &= extra <= MOST
+        return "".join(out), cost, exact, still_open

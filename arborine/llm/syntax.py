@@ -2,11 +2,12 @@
 
 A text becomes one sign per token, its brackets become chart cells (see ``chart``) and what is
 left at the top is parsed as the file's statements; in Python, lines and their indentation take
-the part of curly brackets and semicolons. The repair cost of a file is the sum over its
-constituents; a file of cost 0 is valid. Where the edits fall tells the kinds of damage apart.
+the part of curly brackets and semicolons. Two operator signs that white space keeps from being one operator have a sign
+between them. The repair cost of a file is the sum over its constituents; a file of cost 0 is valid. Where the edits fall tells the
+kinds of damage apart.
 
-The grammars take every valid construct they know of and are wider than the languages in places (types,
-operators and JSX are not checked in depth), so a file of cost 0 may still be wrong in a way that only a full parser
+Seven languages have grammars here, the other ten in ``looser``. The grammars take every valid construct they know of and are wider
+than the languages in places (types, operators), so a file of cost 0 may still be wrong in a way that only a full parser
 sees. Python files of nonzero cost are checked once more by the interpreter's own parser,
 which only takes flags away.
 """
@@ -24,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborine.functions.languages import EXTENSIONS
-from arborine.llm.chart import CACHED, MOST, Automaton, Grammar
-
-#: A token that no language has; every grammar rejects it.
-BAD = "\x00"
-MAX_COST = 99
+from arborine.llm.chart import CACHED, MOST, Grammar
+from arborine.llm.looser import LOOSER
+from arborine.llm.unfold import unfolded
+
+#: A token that no language has, and white space inside an operator; every grammar rejects them.
+BAD, GAP = "\x00", "\x01"
+#: Pairs of operator signs that make one operator and are never two in a row, whatever stands between them (fixed values).
+NEVER = frozenset("== != <= -> => :: /= %= ^= |= += -= *= || ..".split())
 _NUMBER = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d[\d_]*)?)"
 #: Marks of version control and of listings at the start of a line outside strings and comments (fixed values).
 CONFLICT = re.compile(r"^(?:<{7}(?: |$)|={7}$|>{7}(?: |$)|\|{7}(?: |$))", re.M)
@@ -40,86 +44,112 @@ def _keywords(table: dict[str, str]) -> dict[str, str]:
 
 
 class Brackets:
-    """Lexer and grammar of a language whose blocks are in curly brackets."""
+    """Lexer and grammar of a language whose blocks are in curly brackets.
+
+    ``unclosed`` matches strings and comments that nothing ends, each as one bad token, so every lexer takes one pass.
+    """
 
-    def __init__(self, keywords: dict[str, str], rules: dict, *, comments: str, strings: str, number: str, newlines: str = "drop", directives: bool = False, words: str = r"[^\W\d][\w$]*", legal: str = "+-*/%&|^<>=!~?:.,;()[]{}@#") -> None:
-        self.keywords, self.newlines, self.directives = _keywords(keywords), newlines, directives
+    def __init__(self, keywords: dict[str, str], rules: dict, *, comments: str, strings: str, unclosed: str, number: str, newlines: str = "drop", directives: bool = False, words: str = r"[^\W\d][\w$]*", legal: str = "+-*/%&|^<>=!~?:.,;()[]{}@#", never: frozenset[str] = NEVER, unfold=None) -> None:
+        self.keywords, self.newlines, self.directives, self.never, self.unfold = _keywords(keywords), newlines, directives, never, unfold
         plain = "".join(c for c in legal if c not in "/.#'\"`$")
-        self.token = re.compile(rf"[^\S\n]*(?:(?P<w>{words})(?![\"'])|(?P<o>[{re.escape(plain)}])|(?P<l>\n)|(?P<c>{comments})|(?P<s>{strings})|(?P<v>{words})|(?P<n>{number})|(?P<p>[{re.escape(legal)}])|(?P<x>\S)|\Z)", re.S)
+        self.token = re.compile(rf"[^\S\n]*+(?:(?P<w>{words})(?![\"'])|(?P<o>[{re.escape(plain)}])|(?P<l>\n)|(?P<c>{comments})|(?P<s>{strings})|(?P<z>{unclosed})|(?P<v>{words})|(?P<n>{number})|(?P<p>[{re.escape(legal)}])|(?P<x>\S)|\Z)", re.S)
         self.grammar = Grammar(rules)
 
-    def signs(self, text: str) -> str:
-        """One sign per token: brackets and operators as they are, words by keyword or ``i``, numbers ``0``, strings ``"``."""
-        keyword, out, end = self.keywords.get, [], -1
-        add = out.append
+    def signs(self, text: str) -> tuple[str, bool]:
+        """One sign per token: brackets and operators as they are, words by keyword or ``i``, numbers ``0``, strings ``"``; and whether the last token has no end."""
+        keyword, never, out, end = self.keywords.get, self.never, [], -1
+        add, before, ended, cut = out.append, "", -1, False
         for m in self.token.finditer(text):
             kind = m.lastgroup
-            if kind in ("w", "v"):
-                add(BAD if m.start(kind) == end else keyword(m[kind], "i"))
-            elif kind in ("o", "p"):
-                add(m[kind])
-            elif kind == "l":
+            if kind in ("o", "p"):
+                c = m[kind]
+                if before and m.end() - 1 != ended and before + c in never:
+                    add(GAP)
+                add(c)
+                before, ended = c, m.end()
+                continue
+            if kind == "l":
                 add("\n")
+                continue
+            if kind == "c":
+                if "\n" in m[0]:
+                    add("\n")
+                continue
+            if kind in ("w", "v"):
+                t = m[kind]
+                if t[0] == "'":
+                    add("'")
+                    t = ""
+                add(BAD if m.start(kind) == end else keyword(t, "i"))
             elif kind == "s":
                 add('"')
             elif kind == "n":
                 add("0")
                 end = m.end()
-            elif kind == "c":
-                if "\n" in m[0]:
-                    add("\n")
+            elif kind == "z":
+                add(BAD)
+                cut = m.end() >= len(text.rstrip())
             elif kind == "x":
                 add(BAD)
-        return "".join(out)
+            before = ""
+        return "".join(out), cut
 
-    def cost(self, text: str) -> tuple[int, float]:
+    def cost(self, text: str) -> tuple[int, float, bool, bool]:
+        """The cost, where at the top the first edit falls, whether the text stops short and whether the cost is exact."""
         if self.directives:
-            text = re.sub(r"^[ \t]*#[ \t]*(?:include|define|undef|ifn?def|if|elif|else|endif|pragma|error|warning|line)\b(?:[^\n\\]|\\.|\\\n)*", "", text, flags=re.M)
-        signs = self.signs(text)
+            text = re.sub(r"^[ \t]*#[ \t]*(?:include|include_next|define|undef|ifn?def|if|elif|else|endif|pragma|error|warning|line|region|endregion|nullable)\b(?:[^\n\\]|\\.|\\\n)*", "", text, flags=re.M)
+        if self.unfold:
+            text = self.unfold(text)
+        signs, cut = self.signs(text)
         if self.newlines == "drop":
             signs = signs.replace("\n", "")
         elif self.newlines == "js":
-            signs = re.sub(r"\n+(?=[.,:?=*/%&|^<>)\]}])|(?<=[=.,;:?+\-*/%&|^<>!({\[])\n+|(?<=\))\n+(?=\{)", "", signs)
+            signs = re.sub(r"\n+(?=[.,:?=*/%&|^<>)\]}]|\+(?!\+)|-(?!-))|(?<=[=.,;:?*/%&|^<>!({\[VNK])\n+|(?<=[^+]\+)\n+|(?<=[^-]-)\n+|(?<=\))\n+(?=\{)", "", signs)
             signs = re.sub(r"\n+", "\n", signs)
         else:
             signs = re.sub(r"(?<![i0\"RB)\]}T+-])\n+|(?<=[^+]\+)\n+|(?<=[^-]-)\n+|^\n+", "", signs)
             signs = re.sub(r"\n+", "\n", signs)
-        flat, cost = self.grammar.reduce(signs)
+        flat, cost, exact, still_open = self.grammar.reduce(signs)
         flat += self.grammar.end
         where = 1.0
         if not self.grammar.top.accepts(flat):
             edits, at = self.grammar.top.repair(flat)
             cost += edits
+            exact &= edits <= MOST
             where = at / max(len(flat), 1)
-        return cost, where
+        return cost, where, still_open or cut, exact
+
 
+_SLASHES = r"/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*"
 
-def _javascript(typed: bool) -> Brackets:
+
+def _javascript(typed: bool, elements: bool) -> Brackets:
     word, name, group = "[ifoatmyEU]", "[A-Za-z]", "(?:<p>|<s>|<b>)"
-    kind = rf"(?:[ifoatmyUnNKF0\".&|?>!]|=>|<(?:[ifoatmyUnK0\".&|?,>\[\]<=]|{group})+|{group})+"
-    of = rf"(?::{kind})?" if typed else ""
-    generic = r"(?:<[^();{}=]*>)?" if typed else ""
+    kind = rf"(?:[ifoatmyUMnNKF0\".&|?>!]|=>|X|<(?:[ifoatmyUnK0X\".&|?,:>\[\]<=]|{group})+|{group})+"
+    kind = rf"{kind}(?::{kind})*" if typed else kind
+    of = rf"(?::(?:{kind}))?" if typed else ""
+    generic = r"(?:<[^();{}]*>)?" if typed else ""
     function = rf"a?F\*?{word}?{generic}<p2>{of}<b1>"
     klass = rf"K{word}?{generic}(?:X(?:{word}|[.,X<>]|<p>|<s>)+)*<b4>"
     before = rf"(?:[-+!~NUa]|\+\+|--|\.\.\.|a?(?:{word}|{generic}<p2>{of})=>{'|<[^();{}]*>' if typed else ''})*"
-    prime = rf"(?:{word}|0|\"|#i|<p1>|<s1>|<b3>|{function}|{klass}|M<p1>|M\.i)"
-    after = rf"(?:\??\.{name}|\?\.|\.#i|<p1>|<s1>|\+\+|--|\"{f'|!|t{kind}|<[^();{{}}=]*><p1>' if typed else ''})*"
+    prime = rf"(?:{word}|0|\"|#{name}|<p1>|<s1>|<b3>|{function}|{klass}|M<p1>|M\.i|N\.i)"
+    after = rf"(?:\??\.{name}|\?\.|\.#{name}|<p1>|<s1>|\+\+|--|\"{f'|!|t(?:{kind}|V)|<[^();{{}}]*><p1>' if typed else ''})*"
     one = before + prime + after
     op = r"(?:[-+*/%&|^<>=!]{1,4}|\?\??=?|:|[no]|,+|\?:)"
     es = rf"({one}(?={op}))"
     e = rf"({one}(?={op.replace('|,+', '')}))"
-    head = r"(?:I<p1>|W<p1>|Oa?<p4>|L|D|Y|H<p>?|Z|JE?|[ifoatmy]:|@i(?:\.i)*<p1>?)\n?"
+    head = r"(?:I<p1>|W<p1>|O[aU]?<p4>|L|D|Y|H<p>?|Z|JE?|[ifoatmy]:|@i(?:\.i)*<p1>?)\n?"
     module = rf"M(?:y?{word}?(?:,?(?:<b>|\*ti))?f)?\"(?:[i]<b>)?|M{word}={e}|J(?:y?<b>|\*(?:ti)?)(?:f\")?|J={e}"
-    alias = rf"|y{word}{generic}={kind}[;\n]|m?y(?:{word}|\.|\")+{generic}(?:X{kind}(?:,{kind})*)?<b>|V?y{word}<b>|m?F{word}{generic}<p2>{of}[;\n]" if typed else ""
+    alias = rf"|m?y{word}{generic}=\|?{kind}[;\n]|m+V{word}{of}(?:,{word}{of})*[;\n]|m?a?F{word}?{generic}<p2>{of}[;\n]|m?y(?:{word}|\.|\")+{generic}(?:X{kind}(?:,{kind})*)?<b>|V?y{word}<b>|m?F{word}{generic}<p2>{of}[;\n]|mi<b>" if typed else ""
     block = rf"(?:<b1>|m*{function}|m*{klass}|S<p1><b8>{alias})"
     statement = rf"(?:(?:{head})*(?:(?:m*V|[RTB])?{es}?[;\n]+|(?:{module})[;\n]+|{block}[;\n]*))"
     param = rf"(?:(?:@i<p>?)*m*(?:\.\.\.)?(?:{word}|<s>|<b>)\??{of}(?:={e})?)"
-    key = rf"(?:{name}|0|\"|<s1>|#i)"
+    key = rf"(?:{name}|0|\"|<s1>|#{name})"
     prop = rf"(?:(?:{name}:)?{e}|{name}|[am]*\*?{key}{generic}<p2>{of}<b1>)"
-    member = rf"(?:(?:@i(?:\.i)*<p1>?\n?)*[am]*\*?(?:{key}[?!]?)?(?:{generic}<p2>{of}<b1>[;\n]*|{generic}<p2>{of}[;\n]+|{of}(?:={e})?[;\n]+)|m<b1>\n*)"
+    member = rf"(?:(?:@i(?:\.i)*{generic}<p1>?\n?)*[am]*\*?(?:{key}[?!]?)?(?:{generic}<p2>{of}<b1>[;\n]*|{generic}<p2>{of}[;\n]+|{of}(?:={e})?[;\n]+)|m<b1>\n*)"
     field = rf"(?:m*(?:{key}|<s>|-|\+)*\??(?:{generic}<p2>{of}|{of}(?:={e})?)[;,\n]*)"
     rules = {
-        "(": [(1, rf"(?:{es},?)?"), (2, rf"({param}(?=,))?,?"), (4, rf"(?:V?{es})?;{es}?;{es}?|V?{es}")],
+        "(": [(1, rf"(?:{es},?)?"), (2, rf"({param}(?=,))?,?"), (4, rf"(?:V?{es})?;{es}?;{es}?|V?{es}"), *([(16, kind)] if typed else [])],
         "[": [(1, rf",*(?:{es},*)?{f'|(?:{kind},?)*' if typed else ''}")],
         "{": [(1, rf"[;\n]*{statement}*"), (2, rf"({prop}(?=,))?,?\n"), (4, rf"[;\n]*{member}*"), (8, rf"(?:\n*(?:C{es}|E):\n*{statement}*)*\n*"), *([(16, rf"\n*{field}*|({word}(?:={e})?(?=,))?,?\n|(?:{kind}:{kind}[;\n]*)*")] if typed else [])],
         "top": rf"[;\n]*{statement}*",
@@ -132,7 +162,10 @@ def _javascript(typed: bool) -> Brackets:
         "m": "static get set" + (" public private protected readonly abstract declare override" if typed else ""), "y": "interface enum namespace module type" if typed else "",
     }
     strings = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`|(?:(?<=[=(,:;!&|?{}\[])|(?<=[=(,:;!&|?{}\[] )|(?<=\breturn )|(?<=\breturn)|(?<=^)|(?<=\n))/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*'
-    return Brackets(keys, rules, comments=r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*|\A#![^\n]*", strings=strings, number=rf"{_NUMBER}n?", newlines="js", words=r"(?:[^\W\d]|\$)[\w$]*")
+    never = (NEVER | {"&&", "??", ">=", "?."}) - ({"!=", ">="} if typed else set())
+    return Brackets(
+        keys, rules, comments=_SLASHES + r"|\A#![^\n]*", strings=strings, unclosed=r"/\*[\s\S]*|`[\s\S]*|[\"'][^\n]*", number=rf"{_NUMBER}n?", newlines="js", words=r"(?:[^\W\d]|\$)[\w$]*", never=never, unfold=lambda t: unfolded(t, elements)
+    )
 
 
 def _java() -> Brackets:
@@ -155,7 +188,7 @@ def _java() -> Brackets:
     rules = {
         "(": [(1, rf"{es}?|({kind}(?=&))"), (2, rf"({param}(?=,))?|(i(?=,))"), (4, rf"(?:{note}{kind})?{es}?;{e}?;{es}?|{note}{kind}i:{e}|(?:(?:{note}{kind})?{e};?)*")],
         "[": [(1, rf"{e}?")],
-        "{": [(1, rf"{statement}*"), (2, rf"(?:{es},?)?"), (4, rf"(?:{constant},?;?)?{member}*"), (8, rf"(?:(?:C(?:{es}|{kind}i)|m)(?::|->){statement}*)*")],
+        "{": [(1, rf"{statement}*"), (2, rf"(?:{es},?)?"), (4, rf"(?:{constant},?;?)?{member}*"), (8, rf"(?:(?:C(?:{es}|{kind}(?:i|<p2>))(?:i{es})?|m)(?::|->){statement}*)*")],
         "top": rf"(?:(?:@i(?:\.i)*<p1>?)*Pi(?:\.i)*;)?(?:;|Mm?i(?:\.i)*(?:\.\*)?;)*(?:{klass};*)*",
     }
     keys = {
@@ -163,7 +196,7 @@ def _java() -> Brackets:
         "R": "return", "T": "throw", "I": "if", "L": "else", "W": "while", "O": "for", "D": "do", "S": "switch", "C": "case", "Y": "try", "H": "catch", "Z": "finally", "B": "break continue", "A": "assert", "N": "new", "n": "instanceof",
         "p": "int long double float boolean byte short char void",
     }
-    return Brackets(keys, rules, comments=r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*", strings=r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?!"")(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.[0-9a-fA-F]*)\'', number=rf"{_NUMBER}[lLfFdD]?", words=r"(?:[^\W\d]|\$)[\w$]*")
+    return Brackets(keys, rules, comments=_SLASHES, unclosed=r'/\*[\s\S]*|"""[\s\S]*|["\'][^\n]*', never=NEVER | {">=", "&&"}, strings=r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?!"")(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.[0-9a-fA-F]*)\'', number=rf"{_NUMBER}[lLfFdD]?", words=r"(?:[^\W\d]|\$)[\w$]*")
 
 
 def _go() -> Brackets:
@@ -192,45 +225,48 @@ def _go() -> Brackets:
         "K": "package", "M": "import", "F": "func", "y": "type", "V": "var const", "I": "if", "L": "else", "O": "for", "S": "switch select", "C": "case", "E": "default", "R": "return", "B": "break continue goto fallthrough",
         "D": "defer go", "r": "range", "T": "struct interface", "m": "map", "c": "chan",
     }
-    return Brackets(keys, rules, comments=r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*", strings=r'"(?:[^"\\\n]|\\.)*"|`[^`]*`|\'(?:[^\'\\\n]|\\.[0-9a-fA-Fx]*)\'', number=rf"{_NUMBER}i?", newlines="go", legal="+-*/%&|^<>=!~:.,;()[]{}")
+    return Brackets(keys, rules, comments=_SLASHES, unclosed=r'/\*[\s\S]*|`[\s\S]*|["\'][^\n]*', never=NEVER | {">=", ":="}, strings=r'"(?:[^"\\\n]|\\.)*"|`[^`]*`|\'(?:[^\'\\\n]|\\.[0-9a-fA-Fx]*)\'', number=rf"{_NUMBER}i?", newlines="go", legal="+-*/%&|^<>=!~:.,;()[]{}")
 
 
 def _rust() -> Brackets:
-    kind = r"(?:[iqmFc&*.<>+?!\"0XH']|::|->|=|<p>|<s>)+"
-    generic = r"(?:<[^;{}()]*>)?"
-    pat = r"(?:[iqm&|@.:_\"0=-]|<p>|<s>|<b>)+"
+    kind = r"(?:[iqmFAOcux&*.<>+?!\"0XH']|::|->|=|<p>|<s>)+"
+    generic = r"(?:<[^;{}\ue200-\ue2ff]*>)?"
+    wide = r"(?:[iqmFAOcux&*.<>+?!\"0XH',:-]|=|<p>|<s>)+"
+    pat = r"(?:[iqmc&|@.:_\"0-]|\.\.=|<p>|<s>|<b>)+"
     flat = r"(?:[iqm0\".:&*!<>=+\-/%^|?,anVx]|<p>|<s>|<b>)+"
     control = rf"(?:'i:)?(?:O{pat}n{flat}|W{flat}|l|u|q+|I{flat}|M{flat})?(?:<b1>|<b4>)(?:L(?:I{flat})?<b1>)*"
-    prime = rf"(?:i(?:::(?:i|<[^;{{}}]*>))*(?:!(?:<p>|<s>|<b>)|<b2>)?|0|\"|<p1>|<s1>|{control}|[RB](?:'i)?)"
+    prime = rf"(?:i(?:::(?:i|<[^;{{}}]*>))*(?:!(?:<p64>|<s64>|<b64>)|<b2>)?|\.\.|0|\"|<p1>|<s1>|{control}|[RB](?:'i)?)"
     after = rf"(?:\.(?:i|0|w)(?:::<[^;{{}}]*>)?|\?|<p1>|<s1>|a{kind})*"
     before = rf"(?:[-!*&qm]|::|R|V{pat}=|B(?:'i)?|\.\.=?|\|(?:(?:{pat})(?::{kind})?,?)*\|(?:->{kind})?)*"
     es = rf"({before}{prime}{after}(?=(?:[-+*/%&|^<>=!]{{1,3}}|\.\.=?)))(?:\.\.)?"
-    attr, vis, where = r"(?:#!?<s>)*", r"(?:p<p>?)?", rf"(?:H(?:{kind}(?::{kind})?,?)*)?"
-    use = rf"{attr}{vis}G(?:[i:*a]|<b>)+;"
+    trees = r"[^\x00\x01]*"
+    attr, vis, where = r"(?:#!?<s64>)*", r"(?:p<p>?)?", rf"(?:H{wide})?"
+    use = rf"{attr}{vis}G(?:[i:*a]|<b64>)+;"
     item = (
-        rf"{attr}(?:{vis}[qcux\"]*Fi{generic}<p2>(?:->{kind})?{where}(?:<b1>|;)|{vis}Ti{generic}{where}(?:<b8>|<p>?{where};)|{vis}Ni{generic}{where}<b16>|{vis}u?Ji{generic}(?::{kind})?{where}<b32>"
-        rf"|u?A{generic}!?{kind}(?:O{kind})?{where}<b32>|{vis}Ui(?:;|<b32>)|{vis}[cS]m?i:{kind}={es};|{vis}yi{generic}(?::{kind})?(?:={kind})?;|i!i?(?:<b>|<p>;|<s>;)|x\"?<b32>)"
+        rf"{attr}(?:{vis}[qcux\"]*Fi{generic}<p2>(?:->{wide})?{where}(?:<b1>|;)|{vis}Ti{generic}{where}(?:<b8>|<p>?{where};)|{vis}Ni{generic}{where}<b16>|{vis}u?Ji{generic}(?::{kind})?{where}<b32>"
+        rf"|u?A{generic}!?{wide}(?:O{wide})?{where}<b32>|{vis}Ui(?:;|<b32>)|{vis}[cS]m?i:{kind}={es};|{vis}yi{generic}(?::{kind})?(?:={wide})?{where};|i!i?(?:<b64>|<p64>;|<s64>;)|u?x\"?<b32>|{vis}xii(?:ai)?;)"
     )
     statement = rf"(?:{attr}(?:V{pat}(?::{kind})?=)?{es}(?:L<b1>)?;|{attr}V{pat}(?::{kind})?;|{attr}{control};?|{use}|{item}|;)"
-    param = rf"(?:{attr}(?:{pat})(?::{kind})?)"
-    fields = rf"({attr}{vis}i:{kind}(?:<[^;{{}}]*>)?(?=,))"
+    param = rf"(?:{attr}(?:{pat})(?::{wide})?)"
+    fields = rf"({attr}{vis}i:{wide}(?=,))"
     rules = {
-        "(": [(1, rf"({es}(?=,))?,?"), (2, rf"({param}(?=,))?,?"), (4, rf"(?:(?:{attr}{vis}{kind}|,))*")],
-        "[": [(1, rf"({es}(?=[,;]))?,?|{kind}(?:;{es})?"), (2, r"[^;{}]*")],
-        "{": [(1, rf"(?:{statement})*(?:{es})?"), (2, rf"((?:{attr}[i0](?::{es})?|\.\.{es}?)(?=,))?,?"), (4, rf"(?:{attr}{pat}(?:I{flat})?=>(?:{es},?))*"), (8, rf"{fields}?,?"), (16, rf"({attr}i(?:<p>|<b>)?(?:={es})?(?=,))?,?"), (32, rf"(?:{item}|{use})*")],
+        "(": [(1, rf"({es}(?=,))?,?"), (2, rf"({param}(?=,))?,?"), (4, rf"(?:(?:{attr}{vis}{kind}|,))*"), (64, trees)],
+        "[": [(1, rf"({es}(?=[,;]))?,?|{kind}(?:;{es})?"), (2, r"[^;{}\x00\x01]*"), (64, trees)],
+        "{": [(1, rf"(?:{statement})*(?:{attr}{es})?"), (2, rf"((?:{attr}[i0](?::{es})?|\.\.{es}?)(?=,))?,?"), (4, rf"(?:{attr}{pat}(?:I{flat})?=>(?:{es},?))*"), (8, rf"{fields}?,?"), (16, rf"({attr}i(?:<p>|<b>)?(?:={es})?(?=,))?,?"), (32, rf"(?:{item}|{use})*"), (64, trees)],
         "top": rf"(?:{attr}|{use}|{item}|;)*",
     }
     keys = {
         "F": "fn", "V": "let", "I": "if", "L": "else", "W": "while", "O": "for", "n": "in", "l": "loop", "M": "match", "R": "return", "B": "break continue", "T": "struct union", "N": "enum", "J": "trait", "A": "impl", "G": "use", "U": "mod",
         "p": "pub", "q": "async move ref dyn", "m": "mut", "c": "const", "S": "static", "u": "unsafe", "y": "type", "H": "where", "a": "as", "x": "extern", "w": "await",
     }
-    strings = r'b?r"[^"]*"|b?r#"(?:[^"]|"(?!#))*"#|b?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\(?:u\{[0-9a-fA-F_]+\}|x[0-9a-fA-F]{2}|.))\''
-    return Brackets(keys, rules, comments=r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*", strings=strings, number=r"(?:0[xob][0-9a-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?)(?:[iuf](?:8|16|32|64|128|size))?", legal="+-*/%&|^<>=!?:.,;()[]{}@#'", words=r"(?:r#)?[^\W\d]\w*")
+    strings = r'b?r"[^"]*"|[bc]?r(?P<raw>#+)"[\s\S]*?"(?P=raw)|b?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\(?:u\{[0-9a-fA-F_]+\}|x[0-9a-fA-F]{2}|.))\''
+    nested = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*)|/\*(?:[^*]++|\*(?!/))*+\*/)*+\*/|//[^\n]*"
+    return Brackets(keys, rules, comments=nested, unclosed=r'/\*[\s\S]*|"[\s\S]*', never=NEVER - {"||"}, strings=strings, number=r"(?:0[xob][0-9a-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?)(?:[iuf](?:8|16|32|64|128|size))?", legal="+-*/%&|^<>=!?:.,;()[]{}@#$'", words=r"(?![bc]?r#+\")(?:r#)?[^\W\d]\w*|'[^\W\d]\w*+(?!')")
 
 
 def _c() -> Brackets:
-    spec = r"(?:[tm]|i|T(?:i?<b4>|i?<b8>|i))+"
-    name = r"(?:[*m]*(?:i|<p8>)(?:<s>|<p2>)*(?::0)?)"
+    spec = r"(?:[tm]|i<p>?|T(?:i<p>)?(?:i?<b4>|i?<b8>|i))+"
+    name = r"(?:[*m]*(?:i|<p8>)(?:<s>|<p2>)*(?::0)?(?:i<p>?)*)"
     prime = r"(?:i|0|(?:\"|i)+|<p1>|<p2><b2>|z<p>?|<b2>)"
     one = rf"(?:[-+!~*&z]|\+\+|--|<p2>|<p16>)*{prime}(?:\.i|->i|<p1>|<s1>|\+\+|--)*"
     op = r"(?:[-+*/%&|^<>=!]{1,3}|\?|:)"
@@ -239,26 +275,19 @@ def _c() -> Brackets:
     var = rf"({name}(?:={e})?(?=,))"
     head = r"(?:I<p1>|W<p1>|O<p4>|L|D|i:|C[^;{}:]+:|E:)"
     statement = rf"(?:{head}*(?:{spec}{var}?;|R?{es}?;|B;|Gi;|<b1>|S<p1><b1>))"
-    param = r"(?:(?:[tmi]|Ti)+[*m]*(?:i|<p8>)?(?:<s>|<p2>)*|\.\.\.)"
-    item = rf"(?:{spec}[*m]*i<p2>(?:i<p1>?)*<b1>|{spec}{var}?;|;|i<p1>;?|x\"<b16>)"
+    param = r"(?:(?:[tm]|i<p>?|Ti)+[*m]*(?:i|<p8>)?(?:<s>|<p2>)*|\.\.\.)"
+    item = rf"(?:{spec}[*m]*i<p2>(?:i<p1>?)*<b1>|{spec}{var}?;|;|i<p1>;?|m\"(?:<b16>|{spec}{var}?;))"
     rules = {
         "(": [(1, rf"{es}?"), (2, rf"({param}(?=,))?"), (4, rf"(?:{spec}{var}|{es})?;{es}?;{es}?"), (8, r"(?:[*mi]|<s>|<p2>)+"), (16, r"(?:[tmi]|Ti)+\**(?:<s>)*")],
         "[": [(1, rf"m*{e}?")],
-        "{": [(1, rf"{statement}*{head}*"), (2, rf"((?:(?:\.i|<s>)+=)?{e}(?=,))?,?"), (4, rf"(?:{spec}{var}?;)*"), (8, rf"(i(?:={e})?(?=,)),?"), (16, rf"{item}*")],
-        "top": rf"{item}*",
+        "{": [(1, rf"{statement}*{head}*"), (2, rf"((?:(?:\.i|<s>)+=)?{e}(?=,))?,?"), (4, rf"(?:{spec}{var}?;)*"), (8, rf"(i(?:={e})?(?=,)),?"), (16, rf"{item}*i?")],
+        "top": rf"{item}*i?",
     }
     keys = {
         "t": "int long double float char short void unsigned signed _Bool bool size_t", "m": "static const extern inline volatile register restrict typedef auto _Noreturn", "T": "struct enum union", "R": "return", "B": "break continue", "G": "goto", "I": "if", "L": "else",
         "W": "while", "O": "for", "D": "do", "S": "switch", "C": "case", "E": "default", "z": "sizeof",
     }
-    return Brackets(keys, rules, comments=r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*", strings=r'[LuU]?"(?:[^"\\\n]|\\.)*"|[LuU]?\'(?:[^\'\\\n]|\\.)+\'', number=rf"(?:0[xX][0-9a-fA-F.]+(?:[pP][+-]?\d+)?|{_NUMBER})[uUlLfF]*", directives=True, legal="+-*/%&|^<>=!~?:.,;()[]{}")
-
-
-def _loose(comments: str) -> Brackets:
-    """Languages whose brackets, strings and characters alone are checked."""
-    anything = "[^\x00]*"
-    rules = {"(": [(1, anything)], "[": [(1, anything)], "{": [(1, anything)], "top": anything}
-    return Brackets({}, rules, comments=comments, strings=r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`', number=rf"{_NUMBER}\w*", legal="+-*/%&|^<>=!~?:.,;()[]{}@#$\\'\"`_")
+    return Brackets(keys, rules, comments=_SLASHES, unclosed=r'/\*[\s\S]*|["\'][^\n]*', never=NEVER | {">="}, strings=r'[LuU]?"(?:[^"\\\n]|\\.)*"|[LuU]?\'(?:[^\'\\\n]|\\.)+\'', number=rf"(?:0[xX][0-9a-fA-F.]+(?:[pP][+-]?\d+)?|{_NUMBER})[uUlLfF]*", directives=True, legal="+-*/%&|^<>=!~?:.,;()[]{}")
 
 
 class Python:
@@ -269,7 +298,7 @@ class Python:
         "A": "as", "l": "lambda", "n": "not", "b": "and or in is", "P": "pass break continue", "G": "global nonlocal", "D": "del", "S": "assert", "Q": "yield",
     })
     TOKEN = re.compile(
-        rf"(?P<s>[rRbBuUfFtT]{{0,2}}(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\.)*\"|'(?!'')(?:[^'\\\n]|\\.)*'))|(?P<c>#[^\n]*|\\\n)|(?P<w>[^\W\d]\w*)"
+        rf"(?P<s>[rRbBuUfFtT]{{0,2}}(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\.)*\"|'(?!'')(?:[^'\\\n]|\\.)*'))|(?P<c>#[^\n]*|\\\n)|(?P<z>[rRbBuUfFtT]{{0,2}}(?:\"\"\"[\s\S]*|'''[\s\S]*|[\"'][^\n]*))|(?P<w>[^\W\d]\w*)"
         rf"|(?P<n>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?)[jJ]?)|(?P<h>[ \f\t]+)|(?P<l>\n)|(?P<o>[-+*/%@&|^<>=!~:.,;()\[\]{{}}])|(?P<x>.)",
         re.S,
     )
@@ -302,10 +331,13 @@ class Python:
         self.head = Grammar({"(": [], "[": [], "{": [], "top": head}).top
         self._lines: dict[str, tuple[int, bool]] = {}
 
-    def signs(self, text: str) -> tuple[list[str], list[int]]:
-        """The logical lines, one sign per token, and their indentation."""
+    NEVER = NEVER | frozenset(">= // << >> := &= @= **".split()) - {"||", "::", ".."}
+
+    def signs(self, text: str) -> tuple[list[str], list[int], int, bool]:
+        """The logical lines, one sign per token, their indentation, the open brackets at the end and whether the last token has no end."""
         keyword, lines, pads, row = self.KEYWORDS.get, [], [], []
         pad, depth, fresh, end = 0, 0, True, -1
+        before, ended, cut = "", -1, False
         for m in self.TOKEN.finditer(text):
             kind, t = m.lastgroup, m[0]
             if kind == "h":
@@ -324,10 +356,15 @@ class Python:
                 continue
             if fresh:
                 first, fresh = pad, False
+            if kind != "o":
+                before = ""
             if kind == "w":
                 row.append(BAD if m.start() == end else keyword(t, "i"))
             elif kind == "o":
+                if before and ended != m.start() and before + t in self.NEVER:
+                    row.append(GAP)
                 row.append(t)
+                before, ended = t, m.end()
                 depth += 1 if t in "([{" else -1 if t in ")]}" else 0
             elif kind == "s":
                 row.append('"')
@@ -336,25 +373,29 @@ class Python:
                 end = m.end()
             else:
                 row.append(BAD)
+                cut = kind == "z" and m.end() >= len(text.rstrip())
         if row:
             lines.append("".join(row))
             pads.append(first)
-        return lines, pads
+        return lines, pads, depth, cut
 
-    def cost(self, text: str) -> tuple[int, float]:
-        lines, pads = self.signs(text)
-        cost, where, stack, deeper = 0, 1.0, [0], False
+    def cost(self, text: str) -> tuple[int, float, bool, bool]:
+        lines, pads, depth, cut = self.signs(text)
+        cost, where, stack, deeper, exact = 0, 1.0, [0], False, True
         for k, (line, pad) in enumerate(zip(lines, pads)):
             got = self._lines.get(line)
             if got is None:
-                flat, c = self.grammar.reduce(line)
+                flat, c, sure, _ = self.grammar.reduce(line)
                 if not self.line.accepts(flat):
-                    c += self.line.repair(flat)[0]
+                    extra = self.line.repair(flat)[0]
+                    c += extra
+                    sure &= extra <= MOST
                 opens = self.head.accepts(flat)
                 if len(self._lines) > CACHED:
                     self._lines.clear()
-                got = self._lines[line] = (c, opens)
-            c, opens = got
+                got = self._lines[line] = (c, opens, sure)
+            c, opens, sure = got
+            exact &= sure
             if deeper:
                 if pad > stack[-1]:
                     stack.append(pad)
@@ -372,71 +413,45 @@ class Python:
                 where = min(where, k / len(lines))
                 cost += c
             deeper = opens
-            if cost > MAX_COST:
-                return MAX_COST, where
         if deeper:
             cost, where = cost + 1, min(where, 1.0)
-        return cost, where
+        return cost, where, deeper or depth > 0 or cut, exact
 
 
 @cache
 def _parser(language: str):
-    if language == "python":
-        return Python()
-    slashes = r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*"
-    made = {"javascript": lambda: _javascript(False), "typescript": lambda: _javascript(True), "tsx": lambda: _javascript(True), "java": _java, "go": _go, "rust": _rust, "c": _c}
-    if language in made:
-        return made[language]()
-    if language in ("cpp", "csharp", "php", "kotlin", "swift", "scala"):
-        return _loose(slashes + (r"|#[^\n]*" if language in ("php", "cpp", "csharp") else ""))
-    return _loose(r"--\[\[.*?\]\]|--[^\n]*" if language == "lua" else r"#[^\n]*") if language in ("lua", "r") else None
-
-
-_JSX = re.compile(r"</[A-Za-z][\w.]*>|<[A-Za-z][\w.]*(?:\s[^<>]*)?/>|</>")
+    made = {
+        "python": Python, "javascript": lambda: _javascript(False, True), "typescript": lambda: _javascript(True, False), "tsx": lambda: _javascript(True, True), "java": _java, "go": _go, "rust": _rust, "c": _c,
+    }
+    return made[language]() if language in made else LOOSER[language]()
 
 
-def repair(text: str | None, language: str) -> tuple[int, str]:
-    """The repair cost of ``text`` and the kind of damage: ``''`` at cost 0, else conflict, diff, truncation, mismatch or syntax.
+def repair(text: str | None, language: str) -> tuple[int, str, bool]:
+    """The repair cost of ``text``, the kind of damage (``''`` at cost 0, else conflict, diff, truncation, mismatch or syntax) and whether the cost is exact.
 
-    Null, empty and blank texts cost 0. The cost of a constituent is exact up to ``MOST`` edits and
-    the file's is cut off at ``MAX_COST``.
+    Null, empty and blank texts cost 0. A constituent that needs more than ``MOST`` edits counts as ``MOST`` + 1; the cost is then the
+    least it can be.
     """
     if text is None or not text.strip():
-        return 0, ""
+        return 0, "", True
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if text[0] == "﻿":
+    if text[0] == "\ufeff":
         text = text[1:]
-    parser = _parser(language)
-    if parser is None:
-        cost, where = len(CONFLICT.findall(text)), 0.5
-    else:
-        cost, where = parser.cost(text)
-        if cost and language in ("javascript", "tsx") and _has_elements(text):
-            cost, where = min((cost, where), _loose_jsx().cost(text))
+    cost, where, short, exact = _parser(language).cost(text)
     if not cost:
-        return 0, ""
-    if CONFLICT.search(text) and len(CONFLICT.findall(text)) >= 2:
+        return 0, "", True
+    if len(CONFLICT.findall(text)) >= 2:
         kind = "conflict"
     elif DIFF.search(text):
         kind = "diff"
+    elif short:
+        kind = "truncation"
     elif cost > 2 * MOST and where < 0.3:
         kind = "mismatch"
-    elif where > 0.9:
-        kind = "truncation"
     else:
         kind = "syntax"
-    return min(cost, MAX_COST), kind
-
-
-def _has_elements(text: str) -> bool:
-    """Whether a script has JSX elements, whose inside the grammar does not know; a page of markup is no script."""
-    return not text.lstrip().startswith("<") and not CONFLICT.search(text) and not DIFF.search(text) and bool(_JSX.search(text))
-
-
-@cache
-def _loose_jsx() -> Brackets:
-    return _loose(r"/\*(?:[^*]|\*(?!/))*\*/")
+    return cost, kind, exact
 
 
 def _python_takes(text: str) -> bool:
@@ -446,45 +461,44 @@ def _python_takes(text: str) -> bool:
             warnings.simplefilter("ignore")
             ast.parse(text)
         return True
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False
-    except (RecursionError, MemoryError):
-        return True
 
 
-def checked(text: str | None, language: str) -> tuple[int, str]:
+def checked(text: str | None, language: str) -> tuple[int, str, bool]:
     """``repair``, with the exact check behind it for Python."""
-    cost, kind = repair(text, language)
+    cost, kind, exact = repair(text, language)
     if cost and language == "python" and _python_takes(text):
-        return 0, ""
-    return cost, kind
+        return 0, "", True
+    return cost, kind, exact
 
 
 def syntax_repairs(documents: DataFrame) -> DataFrame:
-    """(doc_id, repo, language, cost, damage) of every document whose ``path`` has a supported extension.
+    """(doc_id, repo, language, cost, damage, exact) of every document whose ``path`` has a supported extension.
 
-    ``cost`` is 0 for valid, null, empty and blank texts. Repeated rows and texts each give a row, a null ``doc_id``
+    ``cost`` is 0 for valid, null, empty and blank texts; where ``exact`` is false it is a lower bound. Repeated rows and texts each give a row, a null ``doc_id``
     or ``repo`` stays null, an empty table gives no rows, other columns (``lang`` too) are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, languages, costs, kinds = [], [], [], []
+            keep, languages, costs, kinds, sure = [], [], [], [], []
             for i, (path, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 language = EXTENSIONS.get(path.rsplit("/", 1)[-1].rpartition(".")[2].lower())
                 if language:
-                    cost, kind = checked(text, language)
+                    cost, kind, exact = checked(text, language)
                     keep.append(i)
                     languages.append(language)
                     costs.append(cost)
                     kinds.append(kind)
+                    sure.append(exact)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(languages, pa.string()), pa.array(costs, pa.int64()), pa.array(kinds, pa.string())], ["doc_id", "repo", "language", "cost", "damage"]
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(languages, pa.string()), pa.array(costs, pa.int64()), pa.array(kinds, pa.string()), pa.array(sure, pa.bool_())], ["doc_id", "repo", "language", "cost", "damage", "exact"]
             )
 
     rows = documents.where(F.col("path").contains(".")).select("doc_id", "repo", "path", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, repo string, language string, cost bigint, damage string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, repo string, language string, cost bigint, damage string, exact boolean")
 
 
 def syntax_rates(repairs: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ VALID = {
 @pytest.mark.parametrize("language", VALID)
 def test_valid_and_damaged_files(language):
     text = VALID[language]
-    assert repair(text, language) == (0, "")
+    assert repair(text, language) == (0, "", True)
     assert repair(text.replace("\n", "\r\n"), language)[0] == 0
     if language == "python":
         ast.parse(text)
@@ -208,9 +208,9 @@ def test_valid_and_damaged_files(language):
 
 def test_blank_texts_and_other_languages():
     for text in (None, "", " \n\t"):
-        assert repair(text, "go") == (0, "")
+        assert repair(text, "go") == (0, "", True)
     assert repair("fun f() { (", "kotlin")[0] > 0 and repair("fun f() { }", "kotlin")[0] == 0
-    assert repair("echo hi\n<<<<<<< a\n", "bash")[0] == 1 and repair("x = (1\n", "lua")[0] > 0
+    assert repair("echo hi\n<<<<<<< a\n", "bash")[0] > 0 and repair("x = (1\n", "lua")[0] > 0
     assert repair("x = 1\n" * 20_000, "python")[0] == 0 and repair("{" * 5000, "java")[0] > 0
 
 
