@@ -1,6 +1,6 @@
 """Pages made of repeated keywords, link lists or product tags instead of sentences.
 
-Each line of a page (a long line is cut after its sentences) becomes one symbol by its
+Each line of a page, cut after its sentences, becomes one symbol by its
 outward form; where more than half of a line's words are the few words that dominate the whole
 page, it is a repetition, sentence or not. A hidden Markov model with the states prose, link list, tag list and menu
 labels the lines; its tables start from the priors below and are re-estimated from the counts of
@@ -11,7 +11,6 @@ are emitted by the prose state.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -48,7 +47,7 @@ FUNCTION_WORDS = frozenset(
 )
 _URL = re.compile(r"https?://[^\s)\]>]+|www\.[^\s)\]>]+")
 _EMPTY = re.compile(r"[(\[<]\s*[)\]>]")
-_ANCHOR = re.compile(r"\[([^\]\n]{0,120})\]\([^)\s]+\)|<a\s[^>]*>([^<]*)</a>")
+_ANCHOR = re.compile(r"\[([^\[\]\n]*)\]\([^()\s]+\)|<a\s[^<>]*>([^<]*)</a>")
 _LOG = re.compile(r"^\W{0,3}(?:\d{4}-\d\d-\d\d|\d\d[:/]\d\d[:/]\d\d|\[?\d{10,13}\]?)|^\s*(?:TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\b|^\s*at \S+\(|^Traceback |^\s+File \"")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _CODE = re.compile(r"^(?:\t| {4,})\S|[;{}]\s*$|^\s*(?://|/\*|\*/|#include|import |package |from \S+ import|def |class |return\b|<[/!?a-zA-Z])")
@@ -57,10 +56,10 @@ _SEPARATOR = re.compile(r"[,;|·•/–—]| - ")
 _COUNT = re.compile(r"\(\d[\d.,]*\)|[$€£¥]\s?\d|\b[A-Z]{2,5}-?\d{3,}\b|\b\d+\.\d+\b|\b(?:SKU|USD|EUR)\b|\d\s?[€%]")
 _HEADING = re.compile(r"#{1,6}\s")
 _HASHTAG = re.compile(r"(?:^|\s)#\w")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+#: Signs of scripts that put no spaces between words, or few.
+_CJK = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _ENDS = (".", "!", "?", "。", "！", "？", "…", ":", ".)", ".\"", "»", "؟", "।")
 _SENTENCES = re.compile(r"(?<=[.!?。])\s+|(?<=[。！？])")
-LONG_LINE = 240
 #: Lines of these symbols become repetitions where words that dominate the page fill them.
 _PLAIN = frozenset("sxboh")
 #: The words that dominate a page: at most so many, each with at least this share of the page's words and so many places.
@@ -90,6 +89,9 @@ def line_symbol(line: str) -> tuple[str, int]:
     low = [t.lower() for t in tokens]
     function = sum(t in FUNCTION_WORDS for t in low)
     tail = bare.rstrip(" \t*_)\"'”")
+    if not function and len(tokens) >= 4 and tail.endswith(_ENDS) and not _COUNT.search(s):
+        # perhaps another language: small words are short in all that have spaces
+        function = sum(len(t) <= 3 and t == t.lower() and not t.isdigit() for t in tokens)
     if cjk > 6:
         sentence = tail.endswith(("。", "！", "？", "．")) or bool(re.search(r"[ぁ-ん]{2}", bare) and "。" in bare)
     else:
@@ -118,10 +120,10 @@ def line_symbol(line: str) -> tuple[str, int]:
     return ("b" if n <= 8 else "o"), words
 
 
-def _repetitions(symbols: list[str], lines: list[str]) -> list[str]:
-    """``symbols`` with "r" for plain lines of which the page's dominant words are more than half; code and logs have no part in it.
+def _repetitions(symbols: list[str], lines: list[str], parts: list[int]) -> list[str]:
+    """``symbols`` with "r" for plain parts of lines of which the page's dominant words are more than half; code and logs have no part in it.
 
-    Words with CJK signs are not told apart by spaces and dominate nothing.
+    ``parts`` has the line of each part. Words of scripts without spaces are not told apart and dominate nothing.
     """
     said = [[] if k in "ecl" else [t.lower() for t in _WORD.findall(_bare(line)[0])] for k, line in zip(symbols, lines)]
     total = sum(map(len, said))
@@ -130,13 +132,16 @@ def _repetitions(symbols: list[str], lines: list[str]) -> list[str]:
     dominant = {w for w, n in counts.most_common(DOMINANT) if n >= least}
     if not dominant:
         return symbols
-    return ["r" if k in _PLAIN and 2 * sum(w in dominant for w in words) > len(words) else k for k, words in zip(symbols, said)]
+    balance: Counter = Counter()
+    for at, words in zip(parts, said):
+        balance[at] += 2 * sum(w in dominant for w in words) - len(words)
+    return ["r" if k in _PLAIN and balance[at] > 0 else k for k, at in zip(symbols, parts)]
 
 
 def page_symbols(text: str) -> tuple[str, list[int]]:
     """Symbols and word numbers of all lines of a page; lines within code fences are code."""
-    symbols, words, lines, fenced = [], [], [], False
-    for line in text.splitlines():
+    symbols, words, lines, parts, fenced = [], [], [], [], False
+    for at, line in enumerate(text.splitlines()):
         if line.lstrip()[:3] in ("```", "~~~"):
             fenced = not fenced
             symbols.append("c")
@@ -147,12 +152,13 @@ def page_symbols(text: str) -> tuple[str, list[int]]:
             words.append(len(line.split()))
             lines.append("")
         else:
-            for part in _SENTENCES.split(line) if len(line) > LONG_LINE else [line]:
+            for part in _SENTENCES.split(line):
                 k, n = line_symbol(part)
                 symbols.append(k)
                 words.append(n)
                 lines.append(part)
-    return "".join(_repetitions(symbols, lines)), words
+        parts += [at] * (len(lines) - len(parts))
+    return "".join(_repetitions(symbols, lines, parts)), words
 
 
 def tables(counts: dict[str, float] | None = None, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,8 +224,11 @@ def _corpus_counts(pages: DataFrame, model) -> dict[str, float]:
                         seen[key] = seen.get(key := f"t{path[i - 1]},{s}", 0) + times
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
 
+    spark = pages.sparkSession
     shapes = pages.where("symbols <> ''").groupBy("symbols").agg(F.count(F.lit(1)).alias("times"))
-    rows = shapes.mapInArrow(run, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    # few bytes but much work: spread by number of rows, as the bytes alone would make one task of them
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = shapes.repartition(parts).mapInArrow(run, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
     return {r["key"]: float(r["n"]) for r in rows}
 
 
@@ -257,11 +266,3 @@ def spam_pages(documents: DataFrame, share: float = 0.5, rounds: int = 1) -> Dat
     """(doc_id) of the pages with more than ``share`` of their words outside prose; a page without words is none."""
     labels = page_labels(documents, rounds)
     return labels.where((F.col("words") - F.col("prose")) > F.col("words") * share).select("doc_id")
-
-
-def perplexity(symbols: str, model) -> float:
-    """Negative log chance per line of the likeliest path; a check of how well the model fits a page."""
-    start, move, emit = model
-    path = viterbi(symbols, model)
-    total = start[path[0]] + sum(emit[s][SYMBOLS.index(k)] for s, k in zip(path, symbols)) + sum(move[a][b] for a, b in zip(path, path[1:]))
-    return -float(total) / len(symbols) if math.isfinite(total) else math.inf
