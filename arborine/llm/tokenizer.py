@@ -24,6 +24,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHORT = 256
 CACHED_WORDS = 400_000
 CACHED_LENGTH = 48
+#: Ids after which a part of a batch is handed on.
+SENT_IDS = 1 << 22
 
 #: The vocabulary's pattern (fixed value), with white space and letters written out for ASCII texts and as Unicode classes for others.
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+"
@@ -132,12 +134,14 @@ def encoded(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
         encode = _encoder(shared.value).encode
         for batch in batches:
             flat: list[int] = []
-            ends = [0]
-            for text in batch.column(1).to_pylist():
+            ends, first, n = [0], 0, len(batch)
+            for i, text in enumerate(batch.column(1).to_pylist(), 1):
                 flat += encode(text)
                 ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+                if i == n or len(flat) >= SENT_IDS:  # the places of a list array are 32 bits wide
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), ids], ["doc_id", "ids"])
+                    flat, ends, first = [], [0], i
 
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")

@@ -83,10 +83,22 @@ def test_mix_reaches_shares(spark):
     assert max(full) == min(full) == 3.0
 
 
+def test_mix_to_a_total(spark):
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.randint(1, 60), "big" if i % 10 else "small", None, None) for i in range(400)] + [(900 + i, "w " * (7 + i), "tiny", None, None) for i in range(9)]
+    targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 3), ("tiny", 0.1, 5)], "source string, weight double, max_repeats int")
+    chosen, report = mixed(docs(spark, rows), targets, total=1000.0)
+    got = {r.source: r for r in report.collect()}
+    assert all(abs(r.tokens - r.goal) <= 2 and abs(r.gap) < 1e-3 for r in got.values()) and abs(sum(r.goal for r in got.values()) - 1000) < 1e-6
+    assert all(0 <= r.copies <= {"big": 1, "small": 3, "tiny": 5}[r.source] for r in chosen.collect())
+    most = {r.source: r.tokens for r in mixed(docs(spark, rows), targets, total=1e12)[1].collect()}
+    assert sum(most.values()) > 1000 and abs(most["tiny"] / sum(most.values()) - 0.1) < 0.005
+
+
 def test_mix_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeats int")
     chosen, report = mixed(docs(spark, []), targets)
-    assert chosen.count() == 0 and [tuple(r) for r in report.collect()] == [("a", 1.0, 0.0, 0, 0, 0, 0)]
+    assert chosen.count() == 0 and [tuple(r) for r in report.collect()] == [("a", 1.0, 0.0, 0, 0.0, 0.0, 0, 0, 0)]
     chosen, report = mixed(docs(spark, [(1, "x", "a", None, None)]), targets.limit(0))
     assert chosen.count() == 0 and report.count() == 0
 
