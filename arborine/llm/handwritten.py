@@ -2,17 +2,21 @@
 
 Every repository is a tree: folders inside, documents as leaves. Each node has one of five labels:
 hand (written by hand), gen (made by a tool), mini (minified), vend (third-party copy), blob (data kept as code). A leaf's evidence
-comes from its text and name and from equal code in other repositories; a folder's from its name.
+comes from its text and name and from equal code in other repositories; a folder's from its own name alone.
 ``COMPATIBLE`` says how likely a child has each label below a parent of each label, so what is known of
-siblings reaches a file through their folder. On a tree two passes are exact: messages run up
+siblings and of folders above reaches a file through its folder. On a tree two passes are exact: messages run up
 level by level, where a folder adds those of its children, and back down; every pass over a level is one grouped
 sum or one join in Spark, and sums are combined before the shuffle, so a folder may hold any
 share of the files.
+
+Whole texts are read. What a text says of its origin is looked for in the comments outside blocks, wherever they stand. A
+copyright holder or licence that a good part of a repository's files name is the repository's own and speaks for nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,67 +32,74 @@ from arborine.sources.scratch import Scratch
 LABELS = ("hand", "gen", "mini", "vend", "blob")
 #: Chance of a child's label (column) below a parent's (row).
 COMPATIBLE = {
-    "hand": (0.945, 0.02, 0.01, 0.015, 0.01),
+    "hand": (0.92, 0.02, 0.01, 0.04, 0.01),
     "gen": (0.35, 0.55, 0.03, 0.04, 0.03),
     "mini": (0.45, 0.03, 0.44, 0.05, 0.03),
     "vend": (0.01, 0.005, 0.005, 0.975, 0.005),
     "blob": (0.45, 0.03, 0.03, 0.03, 0.46),
 }
 ROOT = (0.0, -3.0, -3.0, -3.0, -3.0)
-#: Folder names that speak for a label, with the weight of what they say (fixed values).
+#: Folder names that speak for a label, with the weight of what they say of that folder (fixed values).
 FOLDERS = {
-    "node_modules": ("vend", 40.0), "vendor": ("vend", 40.0), "_vendor": ("vend", 40.0), "third_party": ("vend", 40.0), "thirdparty": ("vend", 40.0), "third-party": ("vend", 40.0), "extern": ("vend", 40.0), "external": ("vend", 3.0),
-    "bower_components": ("vend", 40.0), "site-packages": ("vend", 40.0), "deps": ("vend", 2.0), "generated": ("gen", 3.0), "__generated__": ("gen", 4.0), "gen": ("gen", 2.5), "autogen": ("gen", 4.0), "dist": ("mini", 1.0), "min": ("mini", 1.0),
+    **dict.fromkeys(("node_modules", "vendor", "_vendor", "vendored", "third_party", "thirdparty", "third-party", "extern", "bower_components", "site-packages"), ("vend", 9.0)), "external": ("vend", 3.0), "deps": ("vend", 2.0), "contrib": ("vend", 1.0),
+    "generated": ("gen", 3.0), "__generated__": ("gen", 4.0), "gen": ("gen", 2.5), "autogen": ("gen", 4.0), "dist": ("mini", 1.0), "min": ("mini", 1.0),
 }
-#: A name of at least this weight speaks for all folders below it too.
-CERTAIN = 20.0
-_COMMENT = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#(?![ \t]*(?:include|define|if|el|end|pragma|undef)|!?\[)[^\n]*', re.M)
-_LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`|\b(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)\b|\b(?:true|false|null|nil|None|True|False)\b|[,\[\]{}:()+]')
-_TAIL = re.compile(r"^(?:[ \t]*(?://|#|\*|/\*)[^\n]*|[ \t]*\*?/?[ \t]*)$")
+_PIECE = re.compile(
+    r'(?P<t>"""[\s\S]*?(?:"""|\Z)|\'\'\'[\s\S]*?(?:\'\'\'|\Z))|(?P<c>/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z)|//[^\n]*|^[ \t]*(?:#(?![ \t]*(?:include|define|if|el|end|pragma|undef)|!?\[)|--(?=[ \[]))[^\n]*)|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'', re.M
+)
+_LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`]*`|\b(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)\b|\b(?:true|false|null|nil|None|True|False)\b|[,\[\]{}:()+]')
+_SIGNS = re.compile(r"^[\s/#*\"';<!-]+", re.M)
+_THING = r"(?:parser|scanner|lexer|code|files?|source|form implementation|bindings?|stubs?|modules?|class(?:es)?|headers?|interface|wrapper|client|schema|grammar|resources?|tables?|messages?)"
+_DID = r"(?:(?:auto(?:matically)?|machine)[- ]?)?(?:generated|produced|created|built|made)"
+#: What generators write at the start of a comment line, in several languages (fixed values).
 _MADE = re.compile(
-    r"^[\s/#*\"';<!-]*(?:Code generated by\b|@generated\b|<auto-?generated|AUTO-?GENERATED\b|Auto-?generated (?:by|from|file)\b|Generated (?:by|from|automatically|on)\b|This (?:file|code) (?:was|is) (?:auto-?generated|generated|(?:produced|created|made) automatically|automatically (?:produced|generated))"
-    r"|Automatisch (?:erzeugt|generiert)|(?:end of )?output of \S+-gen\b|source: \S+ line \d+, template\b|DO NOT EDIT(?: MANUALLY)?\b[.!]?\s*$|Do not edit (?:by hand|manually)\b)",
+    rf"^(?:@generated\b|<auto-?generated|auto-?generated\b(?! (?:method|function|constructor|catch|getter|setter|member|stub|block|body|todo))|machine[- ]generated\b|generated (?:by|from|automatically|on|using|with|code|file|source)\b|(?:please )?do not (?:edit|modify|change|alter)(?:,| or|\b(?= (?:by hand|manually|this|it|directly|the))|[.!]*$| -|;)"
+    rf"|(?:[\w-]+ ){{0,4}}{_THING}[ ,:]*(?:(?:is|was|were|has been|have been|are) )?{_DID}(?: automatically)? (?:by|from|with|using|on|automatically)\b|(?:[\w-]+ ){{0,4}}{_THING} (?:is|was|were|are|has been) (?:auto-?|automatically )(?:generated|produced|created)"
+    rf"|(?:[\w-]+ ){{0,3}}{_THING}, (?:made|generated|produced) by|(?:end of )?output of (?:the )?[\w./-]*gen(?:erator)?\b|source: \S+\.\w+|any edit is overwritten|manual changes will be lost"
+    r"|automatisch (?:erzeugt|generiert|erstellt)|g[ée]n[ée]r[ée] automatiquement|fichier g[ée]n[ée]r[ée]|generado autom[áa]ticamente|archivo generado|gerado automaticamente|generato automaticamente|автоматически сгенерирован|.{0,12}(?:自動生成|自动生成|자동 생성))"
+    r"|\b(?:generated|made) by [^\n]*\b(?:do not (?:edit|modify)|edit [^\n]* instead)\b|[.;,-] *(?:please )?do not (?:edit|modify|change)[.! ]*$",
     re.I | re.M,
 )
-_COPIED = re.compile(
-    r"imported unchanged from|SPDX-FileCopyrightText:\s*(?!.* team)|Copied from \S+ (?:release|version)|Permission is hereby granted|Redistribution and use in source|Copyright \(c\) (?:the )?\S+ (?:contributors|authors)|\b(?:MIT|BSD|Apache|ISC) Licen[sc]e\b|SPDX-License-Identifier|homepage: \S+|vendored from|upstream (?:version|release)",
-    re.I,
-)
+#: What notices say of another project: a licence, where the text was taken from, a release with its address (fixed values).
+_LICENCE = re.compile(r"Permission is hereby granted|Redistribution and use in source|\b(MIT|BSD|Apache|ISC|MPL|L?GPL|AGPL|zlib|Boost|Unlicense)\b[^\n]{0,40}\bLicen[sc]ed?\b|SPDX-License-Identifier: *(\S+)|Licensed under the ([\w ]+)", re.I)
+_TAKEN = re.compile(r"\b(?:copied|imported|vendored|ported|adapted|taken|borrowed|mirrored|forked|extracted)\b(?: \w+){0,3} from\b|\bunchanged from upstream\b|\bupstream (?:version|release|source|commit)\b", re.I)
+_RELEASE = re.compile(r"(?<![\w.])v?\d+\.\d+(?:\.\d+)?(?![\w.]*/)", re.I)
+_ADDRESS = re.compile(r"https?://|homepage|website", re.I)
+_HOLDER = re.compile(r"(?:SPDX-FileCopyrightText:|copyright(?: \(c\)| ©)?|\(c\)|©)[ :]*(?:\d{4}(?:[-, ]+\d{4})*[ ,]*)?(?:by |the )?([^\n,;|]{2,60})", re.I)
 _BANNER = re.compile(r"/\*![^*]{3,}")
-_TEAM = re.compile(r"\(c\) the (\S+) team")
+_MAP = re.compile(r"sourceMappingURL=")
 _FUNCTION = re.compile(r"(?:\b(?:def|function|func|fn|sub|fun)\s+(?:\([^)\n]*\)\s*)?([A-Za-z_]\w*)\s*[(<])|\b(?:const|let|var)\s+([A-Za-z_]\w*)\s*=\s*(?:async\s*)?\([^)\n]*\)[^=\n]*=>|^[ \t]*(?:[\w<>\[\]*&]+[ \t]+)*\*?([A-Za-z_]\w*)[ \t]*\([^;{}\n]*\)[^;{}=\n]*\{[ \t]*$", re.M)
 _CONTROL = frozenset("if for while switch catch else return do try with synchronized function".split())
 _ACCESS = re.compile(r"(get|set)(.+)", re.I)
 _NAME_MADE = re.compile(r"(?:_pb2(?:_grpc)?|\.pb|_gen|_generated|\.gen|\.generated|\.g|_autogen|\.designer)$", re.I)
-CODE_ENOUGH = 160
-#: What a text without any sign of another project says against a third-party copy.
-UNMARKED = 2.5
-
-
-def _edges_of(text: str) -> tuple[str, str]:
-    """The comments at the head of a text and those at its end."""
-    lines = text.split("\n")
-    head, n = [], 0
-    in_block = False
-    for line in lines[:60]:
-        s = line.strip()
-        if in_block:
-            head.append(line)
-            in_block = not (s.endswith("*/") or s.endswith(('"""', "'''")))
-        elif not s or s.startswith(("//", "#!", "*")) or (s.startswith("#") and not s.startswith(("#include", "#[", "#!["))):
-            head.append(line)
-        elif s.startswith(("/*", '"""', "'''")):
-            head.append(line)
-            in_block = not (s.startswith("/*") and s.endswith("*/") or s.startswith(('"""', "'''")) and len(s) > 5 and s.endswith(('"""', "'''")))
+#: Signs of code at which sizes begin to count in full, and the weight of equal code in another repository.
+ENOUGH, EQUAL = 120, 8.0
+#: What a text without any sign of another project says against a third-party copy, as most copies have one.
+UNMARKED = 1.2
+#: A holder or licence is the repository's own if at least this share of its files, and so many, name it.
+OWN_SHARE, OWN_FILES = 0.1, 5
+
+
+def pieces(text: str) -> tuple[str, list[str]]:
+    """The code of a text without comments, and its comments outside blocks: at no depth of curly brackets and, where they are indented, never."""
+    code, notes, at, depth, fresh = [], [], 0, 0, True
+    for m in _PIECE.finditer(text):
+        if m.lastgroup is None:
+            continue
+        part = text[at : m.start()]
+        code.append(part)
+        depth = max(0, depth + part.count("{") - part.count("}"))
+        lead = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+        if m.lastgroup == "t" and lead.strip():  # a long string that is a value
+            code.append(m[0])
         else:
-            break
-        n += 1
-    tail = []
-    for line in reversed(lines[max(n, len(lines) - 8) :]):
-        if not _TAIL.match(line):
-            break
-        tail.append(line)
-    return "\n".join(head), "\n".join(tail)
+            code.append(" ")
+            fresh = fresh and not part.strip()
+            if depth == 0 and (fresh or not lead and m[0][0] not in " \t"):
+                notes.append(m[0])
+        at = m.end()
+    code.append(text[at:])
+    return "".join(code), notes
 
 
 def repetition(names: list[str]) -> float:
@@ -104,65 +115,70 @@ def repetition(names: list[str]) -> float:
     return max(numbered, paired) / len(names)
 
 
-def evidence(text: str, path: str, repo: str | None) -> tuple[list[float], str | None]:
-    """Log weights of the five labels for one text, and a digest of its code without comments and white space.
-
-    The digest is null where less than ``CODE_ENOUGH`` signs of code are left.
+def evidence(text: str, path: str, repo: str | None) -> tuple[list[float], str | None, float, str | None, float]:
+    """Log weights of the five labels for one text; a digest of its code without comments and white space and what equal code elsewhere weighs; whom the text names as its owner and what that weighs if it is no owner of the repository.
     """
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     name = path.rsplit("/", 1)[-1].rpartition(".")[0]
-    code = _COMMENT.sub(" ", text)
+    code, found = pieces(text)
     tight = "".join(code.split())
     n = len(tight)
+    sure = min(1.0, n / ENOUGH)
     weight = dict.fromkeys(LABELS, 0.0)
     literal = sum(len("".join(m[0].split())) for m in _LITERAL.finditer(code)) / max(n, 1)
     lines = [line for line in code.split("\n") if line.strip()]
     width = sum(map(len, lines)) / max(len(lines), 1)
     dense = n / max(len(code.strip()), 1)
-    blob = literal >= 0.6 and n >= 120
-    mini = not blob and dense > 0.88 and width > 60 and n >= 120
-    weight["blob"] += 9.0 if blob else -9.0
-    weight["mini"] += 9.0 if mini else -9.0
+    blob = literal >= 0.6
+    mini = not blob and dense > 0.88 and width > 60
+    weight["blob"] += 9.0 * sure if blob else -9.0
+    weight["mini"] += 9.0 * sure if mini else -9.0
     if ".min" in name[-4:] or name.endswith(("-min", ".bundle")):
         weight["mini"] += 2.0
-    head, tail = _edges_of(text)
-    head, tail = head[:4000], tail[-2000:]
-    made = bool(_MADE.search(head) or _MADE.search(tail))
+    notes = _SIGNS.sub("", "\n".join(found))
+    if mini:
+        weight["mini"] += (1.0 if _BANNER.search(text) else 0.0) + (2.0 if _MAP.search(notes) else 0.0)
     names = [x for m in _FUNCTION.finditer(code) if (x := m[1] or m[2] or m[3]) and x not in _CONTROL] if not blob and not mini else []
     same = repetition(names)
-    weight["gen"] += (8.0 if made else -1.0) + (7.0 if same >= 0.6 else 2.0 if same >= 0.4 else -2.0 if names else 0.0)
+    weight["gen"] += (8.0 if _MADE.search(notes) else -1.0) + (7.0 if same >= 0.6 else 2.0 if same >= 0.4 else -2.0 if names else 0.0)
     if _NAME_MADE.search(name):
         weight["gen"] += 2.5
-    own = {m[1] for m in _TEAM.finditer(head)}
-    if own:
-        weight["hand" if repo in own else "vend"] += 3.0
-    if _COPIED.search(head) and not (own and repo in own):
-        weight["vend"] += 7.0
+    head = found[0] if found else ""
+    first = _SIGNS.sub("", "\n".join(found[:8]))
+    licence, holder, taken = _LICENCE.search(first), _HOLDER.search(first), _TAKEN.search(notes)
+    release = bool(_RELEASE.search(head)) and bool(_ADDRESS.search(head) or taken or licence)
+    who = holder[1].strip(" .").lower() if holder else None
+    claimed = 0.0
+    if who and repo and re.search(rf"(?<![\w-]){re.escape(repo.lower())}(?![\w-])", who):
+        weight["hand"] += 3.0
+        who = None
     else:
-        weight["vend"] -= UNMARKED
-    if mini and _BANNER.search(head):
-        weight["mini"] += 1.0
-    digest = hashlib.md5(tight.encode("utf-8", "surrogatepass")).hexdigest() if n >= CODE_ENOUGH and not blob else None
-    return [weight[k] for k in LABELS], digest
+        claimed = (3.5 if licence else 0.0) + (3.5 if who else 0.0)
+        who = who or (f"licence {next((g for g in licence.groups() if g), licence[0])}".lower() if licence else None)
+        weight["vend"] += (4.0 if taken else 0.0) + (3.5 if release else 0.0) - (0.0 if taken or release or claimed else UNMARKED)
+    digest = hashlib.md5(tight.encode("utf-8", "surrogatepass")).hexdigest() if n and not blob else None
+    return [weight[k] for k in LABELS], digest, EQUAL * (1.0 - math.exp(-n / ENOUGH)), who, claimed
 
 
 def _file_table(documents: DataFrame) -> DataFrame:
+    """(doc_id, path, root, seen, digest, equal, owner, claimed, one weight per label) of every file to judge."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, logs, digests = [], [], []
-            for i, (path, repo, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+            keep, made = [], []
+            for i, (path, repo, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)))):
                 if EXTENSIONS.get(path.rsplit("/", 1)[-1].rpartition(".")[2].lower()) and text.strip():
-                    log, digest = evidence(text, path, repo)
                     keep.append(i)
-                    logs.append(log)
-                    digests.append(digest)
+                    made.append(evidence(text, path, repo))
             at = pa.array(keep, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(digests, pa.string()), *(pa.array([x[k] for x in logs], pa.float64()) for k in range(len(LABELS)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "path", "digest", *LABELS])
+            columns = [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), *(pa.array([x[k] for x in made], t) for k, t in ((1, pa.string()), (2, pa.float64()), (3, pa.string()), (4, pa.float64()))), *(pa.array([x[0][k] for x in made], pa.float64()) for k in range(len(LABELS)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "path", "seen", "digest", "equal", "owner", "claimed", *LABELS])
 
-    rows = documents.where(F.col("path").contains(".") & F.col("text").isNotNull()).select("doc_id", "path", "repo", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, path string, digest string, " + ", ".join(f"{k} double" for k in LABELS))
+    seen = F.col("fetched_at").cast("timestamp").cast("double") if "fetched_at" in documents.columns else F.lit(0.0)
+    rows = documents.where(F.col("path").contains(".") & F.col("text").isNotNull()).select("doc_id", "path", seen.alias("seen"), "repo", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, path string, seen double, digest string, equal double, owner string, claimed double, " + ", ".join(f"{k} double" for k in LABELS)).withColumn("root", F.substring_index("path", "/", 1))
 
 
 def _message(rows: DataFrame, sources: list[str], targets: list[str], upward: bool) -> DataFrame:
@@ -190,33 +206,46 @@ def _parent(path: str) -> Column:
     return F.regexp_replace(F.col(path), r"/?[^/]*$", "")
 
 
-def _said(label: str) -> Column:
-    """What a folder's name says for a label."""
-    last, way = F.lower(F.substring_index("dir", "/", -1)), F.concat(F.lit("/"), F.lower("dir"), F.lit("/"))
-    out = F.lit(0.0)
-    for name, (k, w) in FOLDERS.items():
-        if k == label:
-            out = F.when(way.contains(f"/{name}/") if w >= CERTAIN else last == name, F.lit(w)).otherwise(out)
-    return out
+def _said(label: str, folders: dict[str, tuple[str, float]]) -> Column:
+    """What a folder's own name says for a label."""
+    said = [x for name, (k, w) in folders.items() if k == label for x in (F.lit(name), F.lit(w))]
+    return F.coalesce(F.try_element_at(F.create_map(*said), F.lower(F.substring_index("dir", "/", -1))), F.lit(0.0)) if said else F.lit(0.0)
+
+
+def _known(files: DataFrame, n_files: int) -> DataFrame:
+    """(doc_id, path, dir, one weight per label): the evidence of each file with what other files say of it.
+
+    Equal code in another repository speaks for a copy, but not in the repository it seems to come from: that of the file with the
+    least evidence of a copy, of equals the one fetched first.
+    """
+    copied = F.col("vend") + F.col("claimed") + F.when(F.lower("path").rlike("/(?:" + "|".join(n for n, (k, w) in FOLDERS.items() if k == "vend" and w > 3) + ")/"), 9.0).otherwise(0.0)
+    origin = F.struct(copied.alias("copied"), F.coalesce("seen", F.lit(float("inf"))).alias("seen"), "path")
+    texts = files.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct(origin.alias("o"), "root")).alias("first"), F.min("root").alias("a"), F.max("root").alias("b"))
+    texts = texts.where("a <> b").select("digest", F.col("first.root").alias("origin"))
+    met = join_skewed(files, texts, "digest", n_files, "left")
+    met = met.withColumn("_equal", F.when(F.col("origin") != F.col("root"), F.col("equal")).otherwise(0.0)).withColumn("_named", F.concat_ws("\n", "root", "owner")).drop("origin")
+    named = files.where(F.col("owner").isNotNull()).groupBy("root", "owner").agg(F.count(F.lit(1)).alias("n"))
+    sizes = files.groupBy("root").agg(F.count(F.lit(1)).alias("all"))
+    own = named.join(sizes, "root").where((F.col("n") >= OWN_FILES) & (F.col("n") >= F.col("all") * OWN_SHARE)).select(F.concat_ws("\n", "root", "owner").alias("_named"), F.lit(True).alias("_own"))
+    met = join_skewed(met, own, "_named", n_files, "left")
+    vend = F.col("vend") + F.col("_equal") + F.when(F.col("_own"), F.lit(-UNMARKED)).otherwise(F.col("claimed"))
+    return met.select("doc_id", "path", _parent("path").alias("dir"), *(vend.alias(k) if k == "vend" else F.col(k) for k in LABELS))
 
 
-def file_labels(documents: DataFrame) -> DataFrame:
+def file_labels(documents: DataFrame, folders: dict[str, tuple[str, float]] = FOLDERS) -> DataFrame:
     """(doc_id, path, label, confidence) of every document with a supported extension and a text that is not blank.
 
     ``confidence`` is the label's chance after propagation. Texts fetched again are leaves of their own, repeated rows
-    stay repeated, a null ``repo`` only takes away the evidence of a team's name; null paths and null, empty or blank
+    stay repeated, a null ``repo`` only takes away the evidence of an owner of that name; null paths and null, empty or blank
     texts give no row; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession, "handwritten")
     files = scratch.save(_file_table(documents), "files")
     n_files = files.count()
-    copies = files.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.substring_index("path", "/", 1)).alias("a"), F.max(F.substring_index("path", "/", 1)).alias("b")).where("a <> b").select("digest", F.lit(8.0).alias("copied"))
     depth = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, "/")))
-    known = join_skewed(files, copies, "digest", n_files, "left")
-    leaves = known.select("doc_id", "path", _parent("path").alias("dir"), *(F.col(k) + (F.coalesce("copied", F.lit(0.0)) if k == "vend" else F.lit(0.0)) for k in LABELS)).toDF("doc_id", "path", "dir", *LABELS)
     up, above = [f"u_{k}" for k in LABELS], [f"a_{k}" for k in LABELS]
     rest = [F.coalesce(F.col(a) - F.col(u), F.lit(ROOT[i])).alias(a) for i, (a, u) in enumerate(zip(above, up))]
-    leaves = scratch.save(_message(leaves, list(LABELS), up, True), "leaf")
+    leaves = scratch.save(_message(_known(files, n_files), list(LABELS), up, True), "leaf")
     below = scratch.save(leaves.groupBy("dir").agg(*(F.sum(u).alias(k) for u, k in zip(up, LABELS))).withColumn("level", depth("dir")), "below")
     deepest = below.agg(F.max("level")).first()[0] or 0
     levels: dict[int, DataFrame] = {}
@@ -224,7 +253,7 @@ def file_labels(documents: DataFrame) -> DataFrame:
         parts = below.where(F.col("level") == level).drop("level")
         if level + 1 in levels:
             parts = parts.unionByName(levels[level + 1].select(_parent("dir").alias("dir"), *(F.col(u).alias(k) for u, k in zip(up, LABELS))))
-        held = parts.groupBy("dir").agg(*(F.sum(k).alias(k) for k in LABELS)).select("dir", *((F.col(k) + _said(k) + (F.lit(ROOT[i]) if level == 1 else F.lit(0.0))).alias(k) for i, k in enumerate(LABELS)))
+        held = parts.groupBy("dir").agg(*(F.sum(k).alias(k) for k in LABELS)).select("dir", *((F.col(k) + _said(k, folders) + (F.lit(ROOT[i]) if level == 1 else F.lit(0.0))).alias(k) for i, k in enumerate(LABELS)))
         levels[level] = scratch.save(_message(held, list(LABELS), up, True), f"up{level}")
     told = levels.get(1, below.select("dir", *LABELS))
     whole = told.select("dir", *LABELS)

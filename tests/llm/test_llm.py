@@ -282,8 +282,15 @@ def test_evidence():
     assert kinds("".join(f"def get_a{i}(x):\n    return x\n\n\ndef set_a{i}(x):\n    return x\n\n\n" for i in range(4)), "r/a.py")["gen"] > 3
     assert kinds("A = [\n" + "  37, 13, 0, 76, 132,\n" * 40 + "]\n", "r/a.py")["blob"] > 3
     assert kinds("!function(e,t){" + "var n=e?t:(e,t);" * 40 + "}()", "r/a.js")["mini"] > 3
-    assert kinds("# SPDX-FileCopyrightText: the oakum authors\n" + HAND, "r/a.py")["vend"] > 3
+    assert evidence("# SPDX-FileCopyrightText: the oakum authors\n" + HAND, "r/a.py", "r")[3:] == ("oakum authors", 3.5)
     assert kinds("# (c) the r team, see LICENSE for the terms\n" + HAND, "r/a.py")["hand"] > 0
+    for head in ("GENERATED CODE - DO NOT MODIFY BY HAND", "A Bison parser, made by GNU Bison 3.8.2.", "Form implementation generated from reading ui file 'a.ui'", "Generated by the protocol buffer compiler.  DO NOT EDIT!", "This file is automatically generated.", "Ce fichier est utile.\n# Fichier généré automatiquement", "Code generated from x.y by a tool; DO NOT EDIT."):
+        assert kinds(f"# {head}\n" + HAND, "r/a.py")["gen"] > 3, head
+        assert kinds(HAND + "\n\n" * 40 + f"# {head}\n", "r/a.py")["gen"] > 3, head
+    for head in ("Holds what was generated by the loader.", "Auto-generated method stub", "Do not edit rows while they are locked.", "Made by hand."):
+        assert kinds(f"# {head}\n" + HAND, "r/a.py")["gen"] < 0, head
+    assert kinds("int f(void) {\n  // generated by x, do not edit\n  return 1;\n}\n" * 3, "r/a.c")["gen"] < 3
+    assert kinds("# Copied from oakum release 1.2.3\n" + HAND, "r/a.py")["vend"] > 6 and kinds("A = [1, 2]\n", "r/a.py")["blob"] < 2
     assert evidence(HAND, "r/a.py", None)[1] == evidence("# another head\n" + HAND.replace("    ", "  "), "q/b.py", None)[1]
 
 
@@ -295,6 +302,17 @@ def test_labels(spark):
     rows += [(20, shared, None, "r", "r/util/a.py"), (21, "# head\n" + shared, None, "q", "q/util/b.py"), (30, None, None, "r", "r/node_modules/n.py"), (31, " ", None, "r", "r/node_modules/o.py"), (32, HAND, None, None, None), (33, HAND, None, "r", "r/docs/a.md"), (34, HAND.replace("limit", "z"), None, None, "top.py"), (0, rows[0][1], None, "r", "r/src/m0.py")]
     labels = file_labels(docs(spark, rows))
     got = sorted((r.doc_id, r.label) for r in labels.collect())
-    assert got == sorted([(0, "hand"), *((i, "hand") for i in range(6)), (10, "vend"), (11, "vend"), (12, "gen"), (20, "vend"), (21, "vend"), (34, "hand")])
+    assert got == sorted([(0, "hand"), *((i, "hand") for i in range(6)), (10, "vend"), (11, "vend"), (12, "gen"), (20, "vend"), (21, "hand"), (34, "hand")])
     assert ("r", "gen", 1) in {tuple(r) for r in label_shares(labels).collect()}
     assert file_labels(docs(spark, [])).count() == 0
+
+
+def test_siblings_and_owners_decide(spark):
+    other = lambda k: "".join(f"def f{k}_{c}(rows, limit):\n    total = limit + {i}\n    return [r * total for r in rows if r != {k}]\n\n\n" for i, c in enumerate("abcd"))
+    taken = lambda k: f"# Copied from oakum release 1.2.{k}\n" + other(k)
+    rows = [(i, taken(i), None, "r", f"r/lib/oakum/m{i}.py") for i in range(5)] + [(5, other(5), None, "r", "r/lib/oakum/m5.py")]
+    rows += [(10 + i, other(10 + i), None, "r", f"r/src/m{i}.py") for i in range(12)] + [(30, taken(30), None, "r", "r/src/x.py")]
+    rows += [(40 + i, "# Copyright (c) 2024 Acme Corp\n# Licensed under the Apache License\n" + other(40 + i), None, "q", f"q/src/m{i}.py") for i in range(12)]
+    rows += [(60, "# Copyright (c) 2019 Someone Else\n# Licensed under the MIT License\n" + other(60), None, "q", "q/src/y.py")]
+    got = {r.doc_id: r.label for r in file_labels(docs(spark, rows), {}).collect()}
+    assert {i for i, label in got.items() if label == "vend"} == {0, 1, 2, 3, 4, 5, 30, 60}
