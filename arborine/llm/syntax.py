@@ -130,7 +130,7 @@ def _javascript(typed: bool, elements: bool) -> Brackets:
     of = rf"(?::(?:{kind}))?" if typed else ""
     generic = r"(?:<[^();{}]*>)?" if typed else ""
     function = rf"a?F\*?{word}?{generic}<p2>{of}<b1>"
-    klass = rf"K{word}?{generic}(?:X(?:{word}|[.,X<>]|<p>|<s>)+)*<b4>"
+    klass = rf"K{word}?{generic}(?:X(?:{word}|[.,X<>]|<p>|<s>{f'|{generic}' if typed else ''})+)*<b4>"
     before = rf"(?:[-+!~NUa]|\+\+|--|\.\.\.|a?(?:{word}|{generic}<p2>{of})=>{'|<[^();{}]*>' if typed else ''})*"
     prime = rf"(?:{word}|0|\"|#{name}|<p1>|<s1>|<b3>|{function}|{klass}|M<p1>|M\.i|N\.i)"
     after = rf"(?:\??\.{name}|\?\.|\.#{name}|<p1>|<s1>|\+\+|--|\"{f'|!|t(?:{kind}|V)|<[^();{{}}]*><p1>' if typed else ''})*"
@@ -238,7 +238,7 @@ def _rust() -> Brackets:
     prime = rf"(?:i(?:::(?:i|<[^;{{}}]*>))*(?:!(?:<p64>|<s64>|<b64>)|<b2>)?|\.\.|0|\"|<p1>|<s1>|{control}|[RB](?:'i)?)"
     after = rf"(?:\.(?:i|0|w)(?:::<[^;{{}}]*>)?|\?|<p1>|<s1>|a{kind})*"
     before = rf"(?:[-!*&qm]|::|R|V{pat}=|B(?:'i)?|\.\.=?|\|(?:(?:{pat})(?::{kind})?,?)*\|(?:->{kind})?)*"
-    es = rf"({before}{prime}{after}(?=(?:[-+*/%&|^<>=!]{{1,3}}|\.\.=?)))(?:\.\.)?"
+    es = rf"(?:({before}{prime}{after}(?=(?:[-+*/%&|^<>=!]{{1,3}}|\.\.=?)))(?:\.\.)?)"
     trees = r"[^\x00\x01]*"
     attr, vis, where = r"(?:#!?<s64>)*", r"(?:p<p>?)?", rf"(?:H{wide})?"
     use = rf"{attr}{vis}G(?:[i:*a]|<b64>)+;"

@@ -55,3 +55,8 @@ def test_long_texts_take_one_pass(language, unit):
     began = time.process_time()
     assert repair(unit * (100_000 // len(unit)), language)[0] > 0
     assert time.process_time() - began < 10
+
+
+def test_struct_patterns_of_rust():
+    assert repair("fn f() { let A { x, .. } = y; if let B(..) = c {} }\n", "rust")[0] == 0
+    assert repair("class A extends B<{ a: number }> {\n  x = 1;\n}\n", "typescript")[0] == 0
