@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborine.functions.languages import EXTENSIONS
+from arborine.sources.tables import for_all_cores
 
 #: Python's built-in names, which are no symbols of a repository in any language (fixed values).
 BUILTINS = frozenset(
@@ -252,7 +253,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             )
 
     rows = files.where(F.col("path").isNotNull()).select("path", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
-    return rows.mapInArrow(run, f"path string, language string, symbols {_SYMBOLS}, edges {_EDGES}, content_hash string, error string")
+    return for_all_cores(rows, "path").mapInArrow(run, f"path string, language string, symbols {_SYMBOLS}, edges {_EDGES}, content_hash string, error string")
 
 
 def extracted_symbols(parsed: DataFrame) -> DataFrame:

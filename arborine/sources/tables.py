@@ -1,4 +1,4 @@
-"""Reading the test tables, which may be one parquet file or a folder of them."""
+"""Reading the test tables, which may be one parquet file or a folder of them, and spreading their rows."""
 
 from __future__ import annotations
 
@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``; pushdown and pruning are Catalyst's."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def for_all_cores(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``, spread by the hash of ``key`` where fewer partitions than cores would read them.
+
+    For work in Python that costs far more than a shuffle of its input, on tables that lie in few files; rows that are read in enough
+    partitions stay where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores, key)
