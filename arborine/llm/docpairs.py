@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborine.functions.languages import EXTENSIONS
+from arborine.sources.tables import for_all_cores
 
 #: How documentation is written: a block comment, or runs of a line marker (fixed values).
 BLOCK, SLASHES, TRIPLE, HASH, DASHES = r"/\*\*(?!/)(?:[^*]|\*(?!/))*\*/", r"//(?!/)", r"///(?!/)", r"#(?![!\[{'])", r"--"
@@ -203,7 +204,7 @@ def _found_in_texts(documents: DataFrame, code: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "line", "name", "signature", "doc", "code"])
 
     rows = documents.where(F.col("path").isNotNull() & F.col("text").isNotNull()).select("path", "text")
-    return rows.mapInArrow(run, "path string, line bigint, name string, signature string, doc string, code string")
+    return for_all_cores(rows, "path").mapInArrow(run, "path string, line bigint, name string, signature string, doc string, code string")
 
 
 def _recorded(symbols: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from arborine.functions.languages import EXTENSIONS
 from arborine.operators.skew import join_skewed
 from arborine.sources.scratch import Scratch
+from arborine.sources.tables import for_all_cores
 
 LABELS = ("hand", "gen", "mini", "vend", "blob")
 #: Chance of a child's label (column) below a parent's (row).
@@ -178,7 +179,7 @@ def _file_table(documents: DataFrame) -> DataFrame:
     seen = F.col("fetched_at").cast("timestamp").cast("double") if "fetched_at" in documents.columns else F.lit(0.0)
     rows = documents.where(F.col("path").contains(".") & F.col("text").isNotNull()).select("doc_id", "path", seen.alias("seen"), "repo", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, path string, seen double, digest string, equal double, owner string, claimed double, " + ", ".join(f"{k} double" for k in LABELS)).withColumn("root", F.substring_index("path", "/", 1))
+    return for_all_cores(rows, "doc_id").mapInArrow(run, f"doc_id {kind}, path string, seen double, digest string, equal double, owner string, claimed double, " + ", ".join(f"{k} double" for k in LABELS)).withColumn("root", F.substring_index("path", "/", 1))
 
 
 def _message(rows: DataFrame, sources: list[str], targets: list[str], upward: bool) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborine.sources.scratch import Scratch
+from arborine.sources.tables import for_all_cores
 
 STATES = ("prose", "links", "tags", "menu")
 #: empty, code, log, sentence, sentence with link, bare links, anchored link, phrase list, repetition, product or count, menu, heading, short, other
@@ -207,7 +208,7 @@ def _symbol_table(documents: DataFrame) -> DataFrame:
             )
 
     rows = documents.where(F.col("path").isNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, symbols string, words array<int>")
+    return for_all_cores(rows, "doc_id").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, symbols string, words array<int>")
 
 
 def _corpus_counts(pages: DataFrame, model) -> dict[str, float]:

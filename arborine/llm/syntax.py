@@ -28,6 +28,7 @@ from arborine.functions.languages import EXTENSIONS
 from arborine.llm.chart import CACHED, MOST, Grammar
 from arborine.llm.looser import LOOSER
 from arborine.llm.unfold import unfolded
+from arborine.sources.tables import for_all_cores
 
 #: A token that no language has, and white space inside an operator; every grammar rejects them.
 BAD, GAP = "\x00", "\x01"
@@ -498,7 +499,7 @@ def syntax_repairs(documents: DataFrame) -> DataFrame:
             )
 
     rows = documents.where(F.col("path").contains(".")).select("doc_id", "repo", "path", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, repo string, language string, cost bigint, damage string, exact boolean")
+    return for_all_cores(rows, "doc_id").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, repo string, language string, cost bigint, damage string, exact boolean")
 
 
 def syntax_rates(repairs: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborine.sources.tables import for_all_cores
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHORT = 256
 CACHED_WORDS = 400_000
@@ -144,7 +146,7 @@ def encoded(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
                     flat, ends, first = [], [0], i
 
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return for_all_cores(rows, "doc_id").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, keep: list[str], vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -162,4 +164,4 @@ def token_counts(documents: DataFrame, keep: list[str], vocabulary: str = DEFAUL
 
     rows = documents.select(*keep, F.col("text").cast("string").alias("_text"))
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{fields}, tokens bigint")
+    return for_all_cores(rows, keep[0]).mapInArrow(run, f"{fields}, tokens bigint")
