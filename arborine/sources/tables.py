@@ -11,10 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def for_all_cores(rows: DataFrame, key: str) -> DataFrame:
-    """``rows``, spread by the hash of ``key`` where fewer partitions than cores would read them.
+    """``rows``, spread by the hash of ``key`` where they lie in fewer files than there are cores.
 
-    For work in Python that costs far more than a shuffle of its input, on tables that lie in few files; rows that are read in enough
-    partitions stay where they are.
+    For work in Python that costs far more than a shuffle of its input; rows of as many files as cores, or of none, stay where they are.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores, key)
+    cores, files = rows.sparkSession.sparkContext.defaultParallelism, len(rows.inputFiles())
+    return rows.repartition(2 * cores, key) if 0 < files < cores else rows
