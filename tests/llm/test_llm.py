@@ -162,16 +162,25 @@ def test_trivial():
 
 def test_islands_of_each_language():
     py = 'class A:\n    def f(self,\n            x=(1, 2)) -> int:\n        # note\n        """Counts stale rows."""\n        return 1\n\n\ndef g():\n    """TODO"""\n\n\ndef h():\n    x = "no doc"\n'
-    assert [(f[0], f[1], f[2], f[3]) for f in documented(py, "python", True)] == [(2, "f", "f(self,\n            x=(1, 2))", "Counts stale rows.")]
-    assert documented(py, "python", True)[0][4].endswith("return 1")
+    assert [(f[0], f[1], f[2], f[3]) for f in documented(py, "python")] == [(2, "f", "f(self,\n            x=(1, 2))", "Counts stale rows.")]
+    assert documented(py, "python")[0][4].endswith("return 1")
     js = '/** Counts stale rows. */\nexport const count = (a) => {\n  return "}";\n};\n\n/** Far away words. */\n\nfunction far() {}\n/* plain words here */\nfunction plain() {}\n'
-    got = documented(js, "javascript", True)
+    got = documented(js, "javascript")
     assert [(f[0], f[1], f[3]) for f in got] == [(2, "count", "Counts stale rows.")] and got[0][4].endswith('return "}";\n}')
     java = "class A {\n  /**\n   * Counts stale rows.\n   * @param a x\n   */\n  @Override\n  public int count(int a) { return a; }\n}\n"
     assert [(f[0], f[1]) for f in documented(java, "java")] == [(7, "count")]
     assert [(f[0], f[1], f[3]) for f in documented("// Count counts stale rows.\n// Twice.\nfunc (s *T) Count(a int) int {\n}\n", "go")] == [(3, "Count", "Count counts stale rows.\nTwice.")]
     assert [(f[0], f[1]) for f in documented("/// Counts stale rows.\n#[inline]\npub fn count<T>(a: T) -> i64 { 1 }\n// Not documentation here.\nfn other() {}\n", "rust")] == [(3, "count")]
     assert [(f[0], f[1]) for f in documented("/** Counts stale rows. */\r\nstatic int count(int a)\r\n{\r\n}\r\n", "c")] == [(2, "count")]
+    names = lambda text, language: [(f[0], f[1]) for f in documented(text, language)]
+    assert names('x = """\ndef g():\n    "Counts stale rows."\n"""\n', "python") == [] and names("s = `\n/** Counts stale rows. */\nfunction f() {}\n`;\n", "javascript") == []
+    assert names('def f(a=10//2):\n    """Counts stale rows."""\n', "python") == [(1, "f")]
+    hashed = 'def f(a,  # the first (and only\n      b="("):\n    """Counts stale rows."""\n    return """\nx\n"""\n\n\ny = 1\n'
+    assert names(hashed, "python") == [(1, "f")] and documented(hashed, "python")[0][4].endswith('x\n"""')
+    assert names('class A {\n  /** Counts stale rows. */\n  @Foo(\n    x = ")",\n    y = 1)\n  @Bar public\n  int count(int a) { return "}".length(); }\n}\n', "java") == [(6, "count")]
+    assert documented("/** Counts stale rows. */\nstatic int\ncount(int a)\n{\n  return '}';\n}\nint y;\n", "c")[0][1::3] == ("count", "static int\ncount(int a)\n{\n  return '}';\n}")
+    assert documented("# Counts stale rows.\ndef count(a)\n  if a\n    1\n  end\nend\nx = 1\n", "ruby")[0][4].endswith("end\nend") and names("-- Counts stale rows.\nlocal function count(a)\n  if a then return 1 end\nend\n", "lua") == [(2, "count")]
+    assert names("/// <summary>Counts stale rows.</summary>\n[Pure]\npublic int Count(int a) => a;\n", "csharp") == [(3, "Count")]
     assert documented(None, "python") == [] and documented("def f(", "python") == [] and documented("/** open", "java") == []
 
 
@@ -265,7 +274,7 @@ def test_pairing_is_least(s):
 def test_syntax_rows(spark):
     rows = [(1, "x = (", None, "r", "r/a.py"), (2, "x = 1", None, "r", "r/b.py"), (3, None, None, "r", "r/c.py"), (4, "{", None, "r", "r/d.md"), (5, "x = (", None, "r", None), (6, "class A {", None, None, "r/A.java"), (1, "x = (", None, "r", "r/a.py")]
     got = syntax_repairs(docs(spark, rows))
-    assert sorted((r.doc_id, r.language, r.cost > 0) for r in got.collect()) == [(1, "python", True), (1, "python", True), (2, "python", False), (3, "python", False), (6, "java", True)]
+    assert sorted((r.doc_id, r.language, r.cost > 0) for r in got.collect()) == [(1, "python"), (1, "python"), (2, "python", False), (3, "python", False), (6, "java", True)]
     assert {tuple(r) for r in syntax_rates(got).collect()} == {("r", "python", 4, 2, 0.5), (None, "java", 1, 1, 1.0)}
     assert syntax_repairs(docs(spark, [])).count() == 0
 
