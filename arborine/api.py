@@ -96,8 +96,14 @@ class CodeGraph:
         return X.blast_radius(self.edges, self._files(changed), max_depth)
 
     def prune_context(self, *prompts: str | DataFrame, token_budget: int = 8000, top_k: int = 20) -> DataFrame:
-        asked = self._asked(prompts).select(F.col("query").alias("prompt_id"), F.col("query").alias("prompt"))
-        return V.prune_context(self.nodes, self.edges, V.symbol_vectors(self.nodes), asked, token_budget, top_k)
+        """The context of each prompt; ``prompt_id`` is the prompt itself, which a number stands for until the end."""
+        number = F.monotonically_increasing_id().cast("string").alias("prompt_id")
+        scratch = Scratch(self.spark, "asked")
+        asked = scratch.save(self._asked(prompts).distinct().select(number, F.col("query").alias("prompt")), "prompts")
+        nodes = scratch.save(self.nodes.select("id", "name", "qualified_name", "path", "signature"), "nodes")
+        found = V.prune_context(nodes, self.edges, V.symbol_vectors(nodes), asked, token_budget, top_k)
+        scratch.drop(nodes)
+        return found.join(asked, "prompt_id").withColumn("prompt_id", F.col("prompt")).select(*found.columns)
 
     def search_architecture_graph(self, *queries: str | DataFrame, limit: int = 20) -> DataFrame:
         return self.prune_context(*queries, token_budget=100_000, top_k=limit)

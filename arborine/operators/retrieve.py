@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
@@ -18,28 +20,38 @@ from arborine.operators.skew import ranked
 from arborine.sources.scratch import Scratch
 
 BLOCK = 2048
+#: Queries that meet a block of vectors at once: all pairs may tie, so this bounds what a task holds.
+ASKED = 512
 #: Queries whose best distances a task of the exact search remembers; 8 bytes each.
 LIMITS = 1_000_000
 #: Vectors on which the cells of an index are fitted, and the greatest number of cells.
 SAMPLE, CELLS = 32_768, 4_096
 EXPANSION_SCORE = 0.25
+#: Bits of a sieve, 8 MB, and of one row in which its parts reach the driver.
+SIEVE, SIEVE_ROW = 1 << 26, 1 << 15
 
 
-def _query_blocks(folder: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _query_blocks(folder: str, kind: pa.DataType) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """(place, ids, matrix) of each block of the query table in ``folder``, always in one order."""
     files = ds.dataset(folder, format="parquet")
     place = 0
     for path in sorted(files.files):
         with files.filesystem.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(BLOCK, columns=["id", "vector"]):
+            for batch in pq.ParquetFile(f).iter_batches(ASKED, columns=["id", "vector"]):
                 if len(batch):
-                    yield place, *_matrix(batch)
+                    yield place, batch.column(0).cast(kind), _matrix(batch.column(1))
                     place += len(batch)
 
 
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a batch of (id, vector)."""
-    return np.array(batch.column(0).to_pylist()), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
+
+
+def _places(ids: pa.Array) -> np.ndarray:
+    """The place of each id in their order. Ids stay in Arrow: NumPy pads texts to the longest, at four bytes a character."""
+    places = np.empty(len(ids), np.int64)
+    places[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    return places
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 20, where: str | None = None) -> DataFrame:
@@ -57,30 +69,30 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 20, where: str | None =
     vectors, queries = (x.where(F.col("vector").isNotNull()).select("id", "vector") for x in (vectors, queries))
     scratch = Scratch(vectors.sparkSession, "knn")
     folder = scratch.save(queries, "queries")._scratch_path
-    kind = to_arrow_type(vectors.schema["id"].dataType)
+    kind = to_arrow_type(queries.schema["id"].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits: dict[int, np.ndarray] = {}
         for batch in batches:
             if not len(batch):
                 continue
-            all_ids, all_v = _matrix(batch)
-            for place, qids, q in _query_blocks(folder):
+            ids, v = batch.column(0), _matrix(batch.column(1))
+            places = _places(ids)
+            for place, qids, q in _query_blocks(folder, kind):
                 limit = limits.get(place)
                 if limit is None:
                     limit = np.full(len(qids), np.inf)
-                for at in range(0, len(all_ids), BLOCK):
-                    best, limit = _nearest(qids, q, all_ids[at : at + BLOCK], all_v[at : at + BLOCK], k, limit, kind)
+                for at in range(0, len(ids), BLOCK):
+                    best, limit = _nearest(qids, q, ids.slice(at, BLOCK), places[at : at + BLOCK], v[at : at + BLOCK], k, limit)
                     yield best
                 if place < LIMITS:
                     limits[place] = limit
 
-    return _best(vectors.mapInArrow(search, _hit_schema(vectors)), k)
+    return _best(vectors.mapInArrow(search, _hit_schema(vectors, queries)), k)
 
 
-def _hit_schema(vectors: DataFrame) -> str:
-    name = vectors.schema["id"].dataType.simpleString()
-    return f"query_id {name}, id {name}, distance double"
+def _hit_schema(vectors: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {queries.schema['id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -88,17 +100,17 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def _nearest(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, limit: np.ndarray, kind: pa.DataType) -> tuple[pa.RecordBatch, np.ndarray]:
-    """The best ``k`` of one block for each query that stay within its ``limit``, and the limits that follow."""
+def _nearest(qids: pa.Array, q: np.ndarray, ids: pa.Array, places: np.ndarray, v: np.ndarray, k: int, limit: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The best ``k`` of one block for each query that stay within its ``limit``, ties by ``places``, and the limits that follow."""
     d = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
     if len(ids) > k:
         limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
     qi, vi = np.nonzero(d <= (limit + 1e-8)[:, None])
     exact = np.concatenate([((v[vi[i : i + BLOCK]] - q[qi[i : i + BLOCK]]) ** 2).sum(1) for i in range(0, len(qi), BLOCK)] or [np.zeros(0)])
-    order = np.lexsort((ids[vi], exact.round(9), qi))
+    order = np.lexsort((places[vi], exact.round(9), qi))
     qi, vi, exact = qi[order], vi[order], exact[order]
     best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-    return pa.RecordBatch.from_arrays([pa.array(qids[qi[best]].tolist(), kind), pa.array(ids[vi[best]].tolist(), kind), pa.array(exact[best])], ["query_id", "id", "distance"]), limit
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(qi[best])), ids.take(pa.array(vi[best])), pa.array(exact[best])], ["query_id", "id", "distance"]), limit
 
 
 def sampled(vectors: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
@@ -144,7 +156,7 @@ def _cells(rows: DataFrame, centres: np.ndarray, nearest: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), BLOCK):
                 part = batch.slice(at, BLOCK)
-                d = _distances(_matrix(part)[1], centres)
+                d = _distances(_matrix(part.column(1)), centres)
                 near = np.argpartition(d, nearest - 1, axis=1)[:, :nearest] if nearest < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
                 rows_at = pa.array(np.repeat(np.arange(len(part)), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows_at), part.column(1).take(rows_at), pa.array(near.ravel().astype(np.int32))], ["id", "vector", "cell"])
@@ -164,9 +176,9 @@ def knn_indexed(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int
     vectors, queries = (x.where(F.col("vector").isNotNull()).select("id", "vector") for x in (vectors, queries))
     scratch = Scratch(vectors.sparkSession, "index")
     n = vectors.count()
-    kind = to_arrow_type(vectors.schema["id"].dataType)
+    kinds = [to_arrow_type(x.schema["id"].dataType) for x in (vectors, queries)]
     if not n:
-        return _best(vectors.mapInArrow(lambda batches: iter(()), _hit_schema(vectors)), k)
+        return _best(vectors.mapInArrow(lambda batches: iter(()), _hit_schema(vectors, queries)), k)
     points = sampled(vectors, n, sample)
     if not len(points):
         return knn(vectors, queries, k)
@@ -187,17 +199,19 @@ def knn_indexed(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int
             cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), len(marks)] if len(marks) else [0]
             for a, b in zip(cuts, cuts[1:]):
                 place, side = tuple(marks[a, :2]), marks[a, 2]
-                rows = pa.RecordBatch.from_arrays([batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a)], ["id", "vector"])
+                rows = batch.slice(a, b - a)
                 if side == 0:
-                    at, parts = place, [*parts, _matrix(rows)] if at == place else [_matrix(rows)]
+                    part = rows.column(3).cast(kinds[0]), _matrix(rows.column(4))
+                    at, parts, places = place, [*parts, part] if at == place else [part], None
                 elif at == place:
-                    if len(parts) > 1:
-                        parts = [(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
-                    qids, q = _matrix(rows)
-                    for i in range(0, len(qids), BLOCK):
-                        yield _nearest(qids[i : i + BLOCK], q[i : i + BLOCK], *parts[0], k, np.full(len(qids[i : i + BLOCK]), np.inf), kind)[0]
+                    if places is None:
+                        ids, v = pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                        parts, places = [(ids, v)], _places(ids)
+                    for i in range(0, len(rows), ASKED):
+                        few = rows.slice(i, ASKED)
+                        yield _nearest(few.column(3).cast(kinds[1]), _matrix(few.column(4)), ids, places, v, k, np.full(len(few), np.inf))[0]
 
-    return _best(met.mapInArrow(search, _hit_schema(vectors)), k)
+    return _best(met.mapInArrow(search, _hit_schema(vectors, queries)), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -220,13 +234,49 @@ def seed_scores(hits: DataFrame) -> DataFrame:
     return hits.groupBy("prompt_id", "id").agg(F.max(score(F.col("distance"))).alias("score"))
 
 
-def expand(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(prompt_id, id, score, is_seed): the seeds and, at a fixed score, the ids one edge away in either direction."""
-    out = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
-    both = out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = seeds.select("prompt_id", F.col("id").alias("a")).join(both, "a").select("prompt_id", F.col("b").alias("id")).distinct()
-    new = near.join(seeds.select("prompt_id", "id"), ["prompt_id", "id"], "left_anti")
-    return seeds.withColumn("is_seed", F.lit(True)).unionByName(new.select("prompt_id", "id", F.lit(EXPANSION_SCORE).alias("score"), F.lit(False).alias("is_seed")))
+def sieve(rows: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test on columns that every ``key`` of ``rows`` passes and few other values do; it takes 8 MB, whatever the number of keys.
+
+    For a filter ahead of an exact join: Catalyst moves it below the shuffles that come before.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    parts = rows.groupBy(F.floor(place / SIEVE_ROW).alias("row")).agg(F.bitmap_construct_agg(place % SIEVE_ROW).alias("bits")).collect()
+    bits = np.zeros(SIEVE // 8, np.uint8)
+    for r in parts:
+        bits[r.row * SIEVE_ROW // 8 : (r.row + 1) * SIEVE_ROW // 8] = np.frombuffer(r.bits, np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def passes(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda value: passes(F.pmod(F.xxhash64(value), F.lit(SIEVE)))
+
+
+def expand(seeds: DataFrame, edges: DataFrame, costs: DataFrame, budget: int, scratch: Scratch) -> DataFrame:
+    """(prompt_id, id, score, is_seed, cost): the seeds and, at a fixed score, the ids one edge away in either direction.
+
+    ``costs`` is (id, cost) of the nodes; an id without a node costs what its own text does. All neighbours of a seed
+    have one score, so they enter a context by id: a prompt's running cost at one of them is at least that of the seed's neighbours
+    up to it, less what the prompt's own seeds cost, as those may come later. Neighbours that this puts beyond ``budget`` are in no
+    context, whatever the prompt, and are not copied to the prompts; the first ones stay, as the very first row of a context always does.
+    """
+    ends = F.array(F.struct(F.col("src_id").alias("a"), F.col("dst_id").alias("id")), F.struct(F.col("dst_id").alias("a"), F.col("src_id").alias("id")))
+    seeded = sieve(seeds, "id")
+    both = edges.where(seeded("src_id") | seeded("dst_id")).select(F.explode(ends).alias("e")).select("e.a", "e.id")
+    cost = F.coalesce("cost", estimate_tokens(F.col("id"))).alias("cost")
+    near = both.join(seeds.select(F.col("id").alias("a")).distinct(), "a", "left_semi").join(costs, "id", "left").select("a", "id", cost).distinct()
+    near = scratch.save(near, "near")
+    seeds = scratch.save(seeds.join(costs, "id", "left").select("prompt_id", "id", "score", cost), "costs")
+    sums = scratch.save(near.groupBy("a").agg(F.sum("cost").alias("all")).where(F.col("all") > budget).select("a"), "sums")
+    if not sums.isEmpty():
+        most, n = seeds.groupBy("prompt_id").agg(F.sum("cost").alias("c"), F.count(F.lit(1)).alias("n")).agg(F.max("c"), F.max("n")).first()
+        first = ranked(near.join(sums, "a", "left_semi"), "a", ["id"], scratch, "cost").where((F.col("total") <= budget + most) | (F.col("rank") <= n + 1))
+        near = near.join(sums, "a", "left_anti").unionByName(first.select(*near.columns))
+    met = seeds.select("prompt_id", F.col("id").alias("a")).join(near, "a").select("prompt_id", "id", F.lit(None).cast("double").alias("score"), "cost")
+    pool = seeds.select(*met.columns).unionByName(met).groupBy("prompt_id", "id").agg(F.max("score").alias("score"), F.max("cost").alias("cost"))
+    return pool.select("prompt_id", "id", F.coalesce("score", F.lit(EXPANSION_SCORE)).alias("score"), F.col("score").isNotNull().alias("is_seed"), "cost")
 
 
 def budget_prefix(rows: DataFrame, group: str, order: list, cost: str, budget: int) -> DataFrame:
@@ -256,9 +306,12 @@ def prune_context(
     asked = scratch.save(prompts.select(F.col("prompt_id").cast("string").alias("id"), (embedder or hashing_embedder())(F.col("prompt")).alias("vector")), "prompts")
     named = scratch.save(vectors.select("id", "vector"), "vectors")
     hits = search(named, asked, top_k).select(F.col("query_id").alias("prompt_id"), "id", "distance")
-    pool = expand(scratch.save(seed_scores(hits), "seeds"), edges)
-    known = nodes.select("id", "name", "path", "signature")
-    rows = pool.join(known, "id", "left").select("prompt_id", "id", F.coalesce(F.nullif("name", F.lit("")), "id").alias("name"), F.coalesce("path", F.lit("")).alias("path"), "signature", "score", "is_seed")
-    rows = rows.withColumn("cost", estimate_tokens(F.coalesce(F.nullif("signature", F.lit("")), "name")))
+    seeds = scratch.save(seed_scores(hits), "seeds")
+    scratch.drop(asked, named)
+    name = F.coalesce(F.nullif("name", F.lit("")), "id")
+    cost = estimate_tokens(F.coalesce(F.nullif("signature", F.lit("")), name))
+    known = scratch.save(nodes.select("id", name.alias("name"), F.coalesce("path", F.lit("")).alias("path"), cost.alias("cost")), "known")
+    pool = expand(seeds, edges, known.select("id", "cost"), token_budget, scratch)
     order = [F.desc(F.round("score", 9)), F.desc("is_seed"), "id"]
-    return budget_prefix(rows, "prompt_id", order, "cost", token_budget).select("prompt_id", "id", "name", "path", F.round("score", 6).alias("score"), "cost", "total", "rank")
+    rows = budget_prefix(pool, "prompt_id", order, "cost", token_budget).join(known.drop("cost"), "id", "left")
+    return rows.select("prompt_id", "id", F.coalesce("name", "id").alias("name"), F.coalesce("path", F.lit("")).alias("path"), F.round("score", 6).alias("score"), "cost", "total", "rank")

@@ -15,6 +15,7 @@ from arborine.operators import retrieve as V
 from arborine.operators import snapshot as S
 from arborine.operators.traverse import reverse_reach
 from arborine.sources.extract import parse_text
+from arborine.sources.scratch import Scratch
 from pyspark.sql import functions as F
 
 ZOO = """class Animal:
@@ -294,6 +295,45 @@ def test_search_and_context(spark):
     assert g.search_architecture_graph("woof").count() > 3
 
 
+def test_long_and_repeated_prompts(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    g = graph(spark, zoo=ZOO)
+    prompts = ["dog bark", "dog bark", "woof\0", "noise main " * 20_000]
+    rows = lambda *asked: sorted(map(tuple, g.prune_context(*asked, token_budget=30, top_k=3).collect()))
+    got = rows(*prompts)
+    assert {r[0] for r in got} == set(prompts) and got == sorted(r for p in set(prompts) for r in rows(p))
+    ids, points = pa.array(["x" * 20_000, *map(str, range(2047))]), np.random.default_rng(0).random((2048, 8))
+    tracemalloc.start()
+    best, _ = V._nearest(ids.slice(0, 64), points[:64], ids, V._places(ids), points, 5, np.full(64, np.inf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best.num_rows == 320 and peak < 20e6
+
+
+def test_hubs_are_cut_where_no_context_reaches(spark):
+    ids = [f"n{i:03}" for i in range(300)]
+    nodes = spark.createDataFrame([(i, i, "p", "s" * (1 + 4 * n % 37)) for n, i in enumerate(ids)], "id string, name string, path string, signature string")
+    links = [(i, "n007", "calls") for i in ids] + [("n007", i, "imports") for i in ids[:40]] + [("n020", i, "calls") for i in ids[100:]] + [("n020", f"out{i}", "calls") for i in range(9)]
+    edges = spark.createDataFrame(links, "src_id string, dst_id string, kind string")
+    vectors = spark.createDataFrame([(i, [float(n)]) for n, i in enumerate(ids)], "id string, vector array<double>")
+    lengths = lambda text: F.array(F.length(text).cast("double"))
+    prompts = spark.createDataFrame([("a", "x" * 7), ("b", "x" * 18), ("c", "x" * 400)], "prompt_id string, prompt string")
+    found = lambda budget: sorted(map(tuple, V.prune_context(nodes, edges, vectors, prompts, budget, 5, lengths).select("prompt_id", "rank", "id", "cost", "total").collect()))
+    whole = found(10**6)
+    assert len(whole) > 500
+    for budget in (0, 200):
+        assert found(budget) == [r for r in whole if r[1] == 1 or r[4] <= budget]
+    seeds = spark.createDataFrame([("a", "n007", 1.0), ("a", "n003", 0.1)], "prompt_id string, id string, score double")
+    pool = V.expand(seeds, edges, nodes.select("id", F.lit(2).cast("long").alias("cost")), 40, Scratch(spark, "test")).collect()
+    assert 20 <= len(pool) < 40 and {(r.id, r.score, r.is_seed) for r in pool} >= {("n007", 1.0, True), ("n003", 0.1, True), ("n000", 0.25, False)}
+    far = V.sieve(spark.createDataFrame([("n007",), ("n020",)], "id string"), "id")
+    assert {r.id for r in nodes.where(far(F.col("id"))).collect()} == {"n007", "n020"}
+
+
 def test_every_id_is_expanded_along_every_kind(spark, tmp_path):
     from arborine.plans.core import QUERIES
 
