@@ -22,7 +22,7 @@ from arborine.sources.scratch import Scratch
 BLOCK = 2048
 #: Queries that meet a block of vectors at once: all pairs may tie, so this bounds what a task holds.
 ASKED = 512
-#: Queries whose best distances a task of the exact search remembers; 8 bytes each.
+#: Distances that a task of the exact search remembers, ``k`` a query; 8 bytes each.
 LIMITS = 1_000_000
 #: Vectors on which the cells of an index are fitted, and the greatest number of cells.
 SAMPLE, CELLS = 32_768, 4_096
@@ -60,8 +60,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 20, where: str | None =
     Both sides are (id, vector) with vectors of one length; rows with a null vector are left out, and with ``where``, a condition on
     the columns of ``vectors``, all rows that do not satisfy it, before the search. The search is exact: the queries are
     written once and read block by block in every task, so vectors are neither packed nor copied; a block of queries meets a block of
-    vectors as a matrix product and hands on only its best ``k`` of each query, less what an earlier block of the task has beaten
-    (which is remembered for the first ``LIMITS`` queries; the others hand on a little more). Cost grows with queries times vectors:
+    vectors as a matrix product and hands on only its best ``k`` of each query, less what earlier blocks of the task have beaten
+    (which is remembered for the first ``LIMITS / k`` queries; the others hand on a little more). Cost grows with queries times vectors:
     ``knn_indexed`` is for query sets that grow with the table.
     """
     if where:
@@ -72,21 +72,21 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 20, where: str | None =
     kind = to_arrow_type(queries.schema["id"].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits: dict[int, np.ndarray] = {}
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
             if not len(batch):
                 continue
             ids, v = batch.column(0), _matrix(batch.column(1))
             places = _places(ids)
             for place, qids, q in _query_blocks(folder, kind):
-                limit = limits.get(place)
-                if limit is None:
-                    limit = np.full(len(qids), np.inf)
+                held = known.get(place)
+                if held is None:
+                    held = np.full((len(qids), k), np.inf)
                 for at in range(0, len(ids), BLOCK):
-                    best, limit = _nearest(qids, q, ids.slice(at, BLOCK), places[at : at + BLOCK], v[at : at + BLOCK], k, limit)
+                    best, held = _nearest(qids, q, ids.slice(at, BLOCK), places[at : at + BLOCK], v[at : at + BLOCK], k, held)
                     yield best
-                if place < LIMITS:
-                    limits[place] = limit
+                if (place + len(qids)) * k <= LIMITS:
+                    known[place] = held
 
     return _best(vectors.mapInArrow(search, _hit_schema(vectors, queries)), k)
 
@@ -100,17 +100,34 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def _nearest(qids: pa.Array, q: np.ndarray, ids: pa.Array, places: np.ndarray, v: np.ndarray, k: int, limit: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
-    """The best ``k`` of one block for each query that stay within its ``limit``, ties by ``places``, and the limits that follow."""
-    d = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
-    if len(ids) > k:
-        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-    qi, vi = np.nonzero(d <= (limit + 1e-8)[:, None])
+def _nearest(qids: pa.Array, q: np.ndarray, ids: pa.Array, places: np.ndarray, v: np.ndarray, k: int, held: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The best ``k`` of one block for each query that are no worse than those ``held``, ties by ``places``, and the distances to hold then."""
+    d, error = _rough_distances(q, v)
+    error = error + 1e-8  # equal where distances are rounded
+    limit = held.max(1, initial=0)
+    if len(ids) > k and not np.isfinite(limit).all():
+        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] + error)
+    qi, vi = np.divmod(np.flatnonzero(d <= np.nextafter((limit + error).astype(d.dtype), d.dtype.type(np.inf))[:, None]), max(1, len(ids)))
     exact = np.concatenate([((v[vi[i : i + BLOCK]] - q[qi[i : i + BLOCK]]) ** 2).sum(1) for i in range(0, len(qi), BLOCK)] or [np.zeros(0)])
     order = np.lexsort((places[vi], exact.round(9), qi))
     qi, vi, exact = qi[order], vi[order], exact[order]
-    best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-    return pa.RecordBatch.from_arrays([qids.take(pa.array(qi[best])), ids.take(pa.array(vi[best])), pa.array(exact[best])], ["query_id", "id", "distance"]), limit
+    rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+    best = rank < k
+    found = np.full_like(held, np.inf)
+    found[qi[best], rank[best]] = exact[best]
+    held = np.sort(np.concatenate([held, found], axis=1), axis=1)[:, :k]
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(qi[best])), ids.take(pa.array(vi[best])), pa.array(exact[best])], ["query_id", "id", "distance"]), held
+
+
+def _rough_distances(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances in single precision, or in double where that may overflow, and for each query more than their error."""
+    qq, vv = (q * q).sum(1), (v * v).sum(1)
+    most = vv.max(initial=0)
+    kind = np.float32 if max(most, qq.max(initial=0)) < 1e30 else np.float64
+    d = (-2 * q).astype(kind) @ v.astype(kind).T
+    d += qq.astype(kind)[:, None]
+    d += vv.astype(kind)[None, :]
+    return d, 4 * (q.shape[1] + 8) * np.finfo(kind).eps * (qq + most)
 
 
 def sampled(vectors: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
@@ -209,7 +226,7 @@ def knn_indexed(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int
                         parts, places = [(ids, v)], _places(ids)
                     for i in range(0, len(rows), ASKED):
                         few = rows.slice(i, ASKED)
-                        yield _nearest(few.column(3).cast(kinds[1]), _matrix(few.column(4)), ids, places, v, k, np.full(len(few), np.inf))[0]
+                        yield _nearest(few.column(3).cast(kinds[1]), _matrix(few.column(4)), ids, places, v, k, np.full((len(few), k), np.inf))[0]
 
     return _best(met.mapInArrow(search, _hit_schema(vectors, queries)), k)
 

@@ -308,7 +308,7 @@ def test_long_and_repeated_prompts(spark):
     assert {r[0] for r in got} == set(prompts) and got == sorted(r for p in set(prompts) for r in rows(p))
     ids, points = pa.array(["x" * 20_000, *map(str, range(2047))]), np.random.default_rng(0).random((2048, 8))
     tracemalloc.start()
-    best, _ = V._nearest(ids.slice(0, 64), points[:64], ids, V._places(ids), points, 5, np.full(64, np.inf))
+    best, _ = V._nearest(ids.slice(0, 64), points[:64], ids, V._places(ids), points, 5, np.full((64, 5), np.inf))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert best.num_rows == 320 and peak < 20e6
